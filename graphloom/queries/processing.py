@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import squeezed
 from graphloom.operators.change_feed import ChangeFeedTable, marks
+from graphloom.operators.hierarchy import hierarchy, path_links
 from graphloom.operators.incremental import TargetState, successful_ranges, taken
 from graphloom.operators.journal import deliveries, events
+from graphloom.operators.nested import array_objects
 from graphloom.operators.once import OnceIndex, identifier
+from graphloom.operators.references import commit_parents, type_parents
+from graphloom.operators.snapshot_diff import commit_changes, store_changes
 from graphloom.queries.tables import table
 from graphloom.session import scratch
 
@@ -22,6 +26,39 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return target.pending(known).select("actor", "version")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed between each snapshot and the one before it, in stores and in repositories."""
+    return store_changes(table(spark, sf, "snapshots")).unionByName(commit_changes(table(spark, sf, "commits")))
+
+
+def hierarchy_links(spark: SparkSession, sf: str) -> DataFrame:
+    """(tree, node, parent, coarse, fine) of node types, commits and paths."""
+    types = type_parents(table(spark, sf, "node_types")).select(F.lit("node_types").alias("tree"), F.col("name").alias("node"), "parent", F.regexp_extract("name", "^[^:]*", 0).alias("coarse"), F.lit("").alias("fine"))
+    commits = table(spark, sf, "commits")
+    place = commits.groupBy(F.lower(squeezed(F.col("commit_id"))).alias("commit_id")).agg(F.min("repo").alias("coarse"), F.min(F.date_format("committed_at", "yyyy-MM-dd")).alias("fine"))
+    links = commit_parents(commits).join(place, "commit_id").select(F.lit("commits").alias("tree"), F.col("commit_id").alias("node"), F.col("parent_id").alias("parent"), "coarse", "fine")
+    return types.unionByName(links).unionByName(path_links(table(spark, sf, "paths")))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Root and depth of every type, commit and path, and those whose ancestry runs in a loop."""
+    return hierarchy(hierarchy_links(spark, sf), F.col("coarse"), F.col("fine"))
+
+
+def nested_sources(spark: SparkSession, sf: str) -> list[tuple]:
+    """(origin, rows, text column, base path, unwrap) of the JSON columns."""
+    journal = table(spark, sf, "journal").select(F.col("delivery_id").alias("record_id"), F.col("payload").alias("text"))
+    states = table(spark, sf, "states").select(F.col("state_id").alias("record_id"), F.col("payload").alias("text"))
+    attributes = table(spark, sf, "paths").select(F.col("path_id").alias("record_id"), F.explode("attributes").alias("key", "text"))
+    return [("journal", journal, None, True), ("states", states, None, True), ("paths", attributes, F.concat(F.lit("$."), F.col("key")), False)]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object in an array, with its path and that of the object it lies in."""
+    parts = [array_objects(rows, ["record_id"], "text", base, unwrap).withColumn("origin", F.lit(origin)) for origin, rows, base, unwrap in nested_sources(spark, sf)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("origin", "record_id", "parent_path", "path")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Actors alive after all changes."""
     state = ChangeFeedTable(spark, scratch(spark, "p5"))
@@ -51,7 +88,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     return _emitted(spark, sf).probe(batch).where("not known").select("actor", "version", "delivery_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_kept": p7_kept}
 
 # the characters of white space in the SQL below are those of functions.text.WHITE_SPACE
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
