@@ -129,7 +129,25 @@ def read_snapshots(df: DataFrame, holder: Column, vkey: Column, version: Column,
                 frame = pd.DataFrame(out, columns=["holder", "vkey", "version", "rid", "tree", "elements"])
                 yield frame.astype({"version": "Int64", "rid": "Int64"})
 
-    return given.mapInPandas(rows, _READ)
+    parsed = given.mapInPandas(rows, _READ)
+    small = F.transform("elements", lambda e: F.struct(e["place"].alias("place"), packed(e["id"]).alias("id"), e["digest"].alias("digest")))
+    return parsed.withColumn("elements", small)
+
+
+def packed(c: Column) -> Column:
+    """Text as bytes; 64 lower-case hexadecimal digits, the form of content addresses, take half the space."""
+    return F.when(c.rlike("^[0-9a-f]{64}$"), F.concat(F.encode(F.lit("h"), "UTF-8"), F.unhex(c))).otherwise(F.concat(F.encode(F.lit("t"), "UTF-8"), F.encode(c, "UTF-8")))
+
+
+def unpacked(c: Column) -> Column:
+    """What ``packed`` has packed."""
+    rest = F.substring(c, 2, (1 << 31) - 1)
+    return F.when(F.decode(F.substring(c, 1, 1), "UTF-8") == "h", F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
+def latest_saves(read: DataFrame) -> DataFrame:
+    """(holder, vkey, version, rid, tree) of the save with the greatest rid of each holder and key, without its elements."""
+    return read.groupBy("holder", "vkey").agg(F.max("version").alias("version"), F.max("rid").alias("rid"), F.max_by("tree", "rid").alias("tree"))
 
 
 def previous_versions(found: DataFrame) -> DataFrame:
@@ -145,45 +163,42 @@ def previous_versions(found: DataFrame) -> DataFrame:
     return near.join(tops, ["holder", "block"]).select("holder", "version", F.coalesce("before", "top").alias("before")).where("before is not null")
 
 
-def latest_saves(read: DataFrame) -> DataFrame:
-    """Of each holder and version the save with the greatest rid."""
-    return read.join(read.groupBy("holder", "vkey").agg(F.max("rid").alias("rid")), ["holder", "vkey", "rid"], "left_semi")
-
-
 def changes(read: DataFrame, pairs: DataFrame) -> DataFrame:
     """(holder, version_key, element_id, change) between the snapshots of each pair.
 
-    ``read``: one row a snapshot, its key (at_holder, vkey) unique; it is read
-    three times, so it should be a written table.  ``pairs``: holder,
-    version_key, at_holder, before_holder, before: the snapshot and the one
-    before it.  change is added, removed or changed.
+    ``read``: what ``read_snapshots`` gives, written as a table, since its
+    columns are read at different times: first only keys and trees, then the
+    elements of the snapshots that differ.  ``pairs``: holder, version_key,
+    at_holder, before_holder, before: the snapshot and the one before it.
+    change is added, removed or changed.
     """
-    trees = read.select(F.col("holder").alias("at_holder"), "vkey", "tree")
-    both = pairs.join(trees.withColumnRenamed("vkey", "version_key"), ["at_holder", "version_key"]).join(
-        trees.select(F.col("at_holder").alias("before_holder"), F.col("vkey").alias("before"), F.col("tree").alias("old")), ["before_holder", "before"]
-    )
+    trees = latest_saves(read)
+    now = trees.select(F.col("holder").alias("at_holder"), F.col("vkey").alias("version_key"), F.col("rid").alias("now_rid"), F.col("tree").alias("new"))
+    old = trees.select(F.col("holder").alias("before_holder"), F.col("vkey").alias("before"), F.col("rid").alias("old_rid"), F.col("tree").alias("old"))
+    both = pairs.join(now, ["at_holder", "version_key"]).join(old, ["before_holder", "before"])
 
     @F.pandas_udf("array<boolean>")
     def mask(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([differing(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype=object)
 
-    asked = both.withColumn("mask", mask("tree", "old")).where("mask is not null")
-    side = F.explode(F.array(F.struct(F.col("at_holder").alias("h"), F.col("version_key").alias("k"), F.lit(True).alias("new")), F.struct(F.col("before_holder").alias("h"), F.col("before").alias("k"), F.lit(False).alias("new"))))
-    asked = asked.select("holder", "version_key", "mask", side.alias("s")).select("holder", "version_key", "mask", F.col("s.h").alias("h"), F.col("s.k").alias("k"), "s.new")
-    held = read.select(F.col("holder").alias("h"), F.col("vkey").alias("k"), "elements")
+    asked = both.withColumn("mask", mask("new", "old")).where("mask is not null")
+    side = lambda h, k, r, new: F.struct(F.col(h).alias("h"), F.col(k).alias("k"), F.col(r).alias("r"), F.lit(new).alias("is_new"))
+    sides = F.explode(F.array(side("at_holder", "version_key", "now_rid", True), side("before_holder", "before", "old_rid", False)))
+    asked = asked.select("holder", packed(F.col("version_key")).alias("version_key"), "mask", sides.alias("s")).select("holder", "version_key", "mask", "s.*")
+    held = read.select(F.col("holder").alias("h"), F.col("vkey").alias("k"), F.col("rid").alias("r"), "elements")
     bits = F.expr("cast(round(log2(size(mask))) as int)")
     inside = F.filter("elements", lambda e: F.get(F.col("mask"), (e["place"] / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("int")))
-    rows = asked.withColumn("bits", bits).join(held, ["h", "k"]).select("holder", "version_key", "new", F.explode(inside).alias("e"))
-    digest = lambda new: F.max(F.when(F.col("new") == new, F.col("e.digest")))
+    rows = asked.withColumn("bits", bits).join(held, ["h", "k", "r"]).select("holder", "version_key", "is_new", F.explode(inside).alias("e"))
+    digest = lambda new: F.max(F.when(F.col("is_new") == new, F.col("e.digest")))
     diff = rows.groupBy("holder", "version_key", F.col("e.id").alias("element_id")).agg(digest(True).alias("now"), digest(False).alias("then"))
     change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("then") != F.col("now"), "changed")
-    return diff.select("holder", "version_key", "element_id", change.alias("change")).where("change is not null")
+    return diff.select("holder", unpacked(F.col("version_key")).alias("version_key"), unpacked(F.col("element_id")).alias("element_id"), change.alias("change")).where("change is not null")
 
 
 def store_changes(snapshots: DataFrame) -> DataFrame:
     """Changes between neighbouring versions of each store."""
     read = read_snapshots(snapshots.where("store is not null and version is not null"), F.col("store"), F.col("version"), F.col("version"), F.col("id"), F.col("json"), "ontology")
-    read = latest_saves(written(read, "snapshots"))
+    read = written(read, "snapshots")
     before = previous_versions(read)
     pairs = before.select("holder", F.col("version").cast("string").alias("version_key"), F.col("holder").alias("at_holder"), F.col("holder").alias("before_holder"), F.col("before").cast("string").alias("before"))
     return changes(read, pairs)
@@ -193,7 +208,7 @@ def commit_changes(commits: DataFrame) -> DataFrame:
     """Changes of each commit against its parent."""
     own = F.lower(squeezed(F.col("commit_id")))
     read = read_snapshots(commits, F.lit(""), own, F.lit(None), F.xxhash64("snapshot"), F.col("snapshot"), None)
-    read = latest_saves(written(read, "commits"))
+    read = written(read, "commits")
     repos = commits.groupBy(own.alias("version_key")).agg(F.max("repo").alias("holder"))
     pairs = commit_parents(commits).where("parent_id is not null and parent_id <> commit_id").select(F.col("commit_id").alias("version_key"), F.col("parent_id").alias("before"))
     pairs = pairs.join(repos, "version_key").select("holder", "version_key", F.lit("").alias("at_holder"), F.lit("").alias("before_holder"), "before")
