@@ -117,79 +117,104 @@ def statistics(df: DataFrame, text: str, function_words: dict[str, list[str]]) -
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     spaced = F.regexp_replace(t, r"(?U)\s+", " ")
-    rows = df.withColumn("stats", F.struct(t.alias("text"), F.filter(F.split(t, _LINE_END), lambda x: x.rlike(r"(?U)\S")).alias("raw"), F.filter(F.split(spaced, " "), lambda x: x != "").alias("tokens"), F.filter(F.split(spaced, r"[.!?]+[\"')»”]*(?: |$)"), lambda x: F.length(F.trim(x)) > 0).alias("sentences")))
-    s = F.col("stats")
-    # lines: characters by kind, and how many stand in lines that occur before
+    split = F.struct(
+        t.alias("text"),
+        F.filter(F.split(t, _LINE_END), lambda x: x.rlike(r"(?U)\S")).alias("raw"),
+        F.filter(F.split(spaced, " "), lambda x: x != "").alias("tokens"),
+        F.filter(F.split(spaced, r"[.!?]+[\"')»”]*(?: |$)"), lambda x: F.length(F.trim(x)) > 0).alias("sentences"),
+    )
+    # one expression, each part bound once: a filter on it is pushed down without multiplying it
+    return df.withColumn("stats", _let(split, lambda s: _let(_counts(s, function_words), lambda c: _shares(c, len(function_words)))))
+
+
+def _number(c: Column) -> Column:
+    return c.cast("bigint")
+
+
+def _counts(s: Column, function_words: dict[str, list[str]]) -> Column:
+    """What is counted in the lines, tokens and sentences of a text."""
     lines = F.transform(s["raw"], lambda x: F.rtrim(x))
     by_kind = F.aggregate(
         lines,
-        F.array(*[F.lit(0).cast("bigint")] * 4),
+        F.array(*[_number(F.lit(0))] * 4),
         lambda acc, x: _let(line_kind(x), lambda k: F.transform(acc, lambda n, i: F.when(i == k, n + F.length(x)).otherwise(n))),
     )
-    distinct = _total(F.array_distinct(F.transform(lines, lambda x: F.trim(x))), lambda x: F.length(x).cast("bigint"))
-    all_ = _total(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x).cast("bigint"))
+    distinct = _total(F.array_distinct(F.transform(lines, lambda x: F.trim(x))), lambda x: _number(F.length(x)))
+    all_ = _total(F.transform(lines, lambda x: F.trim(x)), lambda x: _number(F.length(x)))
     closed = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?;:][\"')»”]*$")))
 
-    def words_of(token: Column) -> Column:
-        """Class and function-word languages of a token."""
+    def classed(token: Column) -> Column:
+        """Class, function-word languages and length of a token."""
         bare = F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         ident = token.rlike(r"\p{L}[0-9_:#/=]|\p{Ll}\p{Lu}|[0-9]\p{L}")
-        return _let(bare, lambda b: _let(F.when(b == "", F.lit(0).cast("bigint")).otherwise(_languages(F.lower(b), function_words)), lambda f: F.struct(
-            F.when(b == "", 4).when(f > 0, 0).when(ident, 2).when(~b.rlike(r"\p{L}"), 3).otherwise(1).alias("k"), f.alias("f"), F.length(token).alias("n"))))
-
-    classed = F.transform(s["tokens"], words_of)
-    enumerated = lambda x: _let(F.filter(F.split(x, r"[,;/>|·•] "), lambda c: F.length(F.trim(c)) > 0), lambda c: (F.size(c) >= 5) & (F.size(F.split(F.trim(x), " ")) <= 4.5 * F.size(c)))
-    measured = F.transform(s["sentences"], lambda x: _let(F.size(F.filter(F.split(x, " "), lambda w: w != "")), lambda n: F.struct(F.when(n <= 2, 0).when(enumerated(x), 1).otherwise(2).alias("k"), n.cast("bigint").alias("n"))))
-    letters, digits = F.regexp_count(s["text"], F.lit(r"\p{L}")), F.regexp_count(s["text"], F.lit(r"\p{N}"))
-    rows = rows.withColumn(
-        "stats",
-        F.struct(by_kind.alias("kinds"), distinct.alias("distinct"), all_.alias("all"), closed.alias("closed"), F.size(s["raw"]).alias("n_lines"), classed.alias("words"), measured.alias("sentences"), letters.alias("letters"), digits.alias("digits"), F.regexp_count(s["text"], F.lit(_STRUCTURAL)).alias("structural"), F.length(s["text"]).alias("n_chars")),
-    )
+        kind = lambda b, f: F.when(b == "", 4).when(f > 0, 0).when(ident, 2).when(~b.rlike(r"\p{L}"), 3).otherwise(1)
+        used = lambda b: F.when(b == "", _number(F.lit(0))).otherwise(_languages(F.lower(b), function_words))
+        return _let(bare, lambda b: _let(used(b), lambda f: F.struct(kind(b, f).alias("k"), f.alias("f"), _number(F.length(token)).alias("n"))))
+
+    def enumerated(x: Column) -> Column:
+        clauses = F.filter(F.split(x, r"[,;/>|·•] "), lambda c: F.length(F.trim(c)) > 0)
+        return _let(clauses, lambda c: (F.size(c) >= 5) & (F.size(F.split(F.trim(x), " ")) <= 4.5 * F.size(c)))
+
+    def measured(x: Column) -> Column:
+        return _let(F.size(F.filter(F.split(x, " "), lambda w: w != "")), lambda n: F.struct(F.when(n <= 2, 0).when(enumerated(x), 1).otherwise(2).alias("k"), _number(n).alias("n")))
+
+    count = lambda pattern: F.regexp_count(s["text"], F.lit(pattern))
+    return F.struct(
+        by_kind.alias("kinds"), distinct.alias("distinct"), all_.alias("all"), closed.alias("closed"), F.size(s["raw"]).alias("n_lines"),
+        F.transform(s["tokens"], classed).alias("words"), F.transform(s["sentences"], measured).alias("sentences"),
+        count(r"\p{L}").alias("letters"), count(r"\p{N}").alias("digits"), count(_STRUCTURAL).alias("structural"), F.length(s["text"]).alias("n_chars"),
+    )
+
+
+def _shares(s: Column, languages: int) -> Column:
+    """The distributions and statistics that the counts give."""
     repeated = F.when(s["all"] > 0, 1 - s["distinct"] / s["all"]).otherwise(0.0)
     few = s["n_lines"] < 3  # a line or two, however short, are no list
     kinds = _share([s["kinds"][0] + F.when(few, s["kinds"][1]).otherwise(0), F.when(few, 0).otherwise(s["kinds"][1]), s["kinds"][2], s["kinds"][3]])
-    of = lambda items, k: _total(F.filter(items, lambda x: x["k"] == k), lambda x: x["n"].cast("bigint"))
-    langs = len(function_words)
+    of = lambda items, k: _total(F.filter(items, lambda x: x["k"] == k), lambda x: x["n"])
     in_language = lambda i: F.filter(s["words"], lambda x: F.getbit(x["f"], F.lit(i)) == 1)
-    best = F.greatest(F.lit(0), *(F.size(in_language(i)) for i in range(langs))) if langs else F.lit(0)
+    best = F.greatest(F.lit(0), F.lit(0), *(F.size(in_language(i)) for i in range(languages)))
     # function words of other languages than the one most used are plain words here
-    best_chars = F.greatest(F.lit(0).cast("bigint"), *(_total(in_language(i), lambda x: x["n"].cast("bigint")) for i in range(langs))) if langs else F.lit(0)
+    best_chars = F.greatest(_number(F.lit(0)), _number(F.lit(0)), *(_total(in_language(i), lambda x: x["n"]) for i in range(languages)))
     n_words = F.size(F.filter(s["words"], lambda x: x["k"] < 4))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return rows.withColumn(
-        "stats",
-        F.struct(
-            F.transform(F.concat(kinds, F.array(F.lit(-1.0))), lambda x: F.when(x < 0, repeated).otherwise(x * (1 - repeated))).alias("lines"),
-            _share([best_chars, of(s["words"], 1) + of(s["words"], 0) - best_chars, of(s["words"], 2), of(s["words"], 3), of(s["words"], 4)]).alias("words"),
-            _share([of(s["sentences"], k) for k in range(3)]).alias("sentences"),
-            _share([s["letters"], s["digits"], s["structural"]]).alias("chars"),
-            n_words.alias("n_words"),
-            s["n_chars"].alias("n_chars"),
-            s["n_lines"].alias("n_lines"),
-            ratio(_total(F.filter(s["words"], lambda x: x["k"] < 4), lambda x: x["n"].cast("bigint")), n_words).alias("mean_word_length"),
-            ratio(s["structural"], s["n_chars"]).alias("symbol_ratio"),
-            ratio(s["closed"], s["n_lines"]).alias("punctuated_lines"),
-            ratio(best, n_words).alias("common_words"),
-        ),
+    return F.struct(
+        F.transform(F.concat(kinds, F.array(F.lit(-1.0))), lambda x: F.when(x < 0, repeated).otherwise(x * (1 - repeated))).alias("lines"),
+        _let(best_chars, lambda b: _share([b, of(s["words"], 1) + of(s["words"], 0) - b, of(s["words"], 2), of(s["words"], 3), of(s["words"], 4)])).alias("words"),
+        _share([of(s["sentences"], k) for k in range(3)]).alias("sentences"),
+        _share([s["letters"], s["digits"], s["structural"]]).alias("chars"),
+        n_words.alias("n_words"),
+        s["n_chars"].alias("n_chars"),
+        s["n_lines"].alias("n_lines"),
+        ratio(_total(F.filter(s["words"], lambda x: x["k"] < 4), lambda x: x["n"]), n_words).alias("mean_word_length"),
+        ratio(s["structural"], s["n_chars"]).alias("symbol_ratio"),
+        ratio(s["closed"], s["n_lines"]).alias("punctuated_lines"),
+        ratio(best, n_words).alias("common_words"),
     )
 
 
-def divergence(p: Column, q: tuple[float, ...]) -> Column:
-    """Jensen-Shannon divergence in bits between an array of shares and fixed ones."""
-    half = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
+def divergences(shares: Column) -> Column:
+    """array<struct<d, name>>: the weighted sum of Jensen-Shannon divergences (in bits) of a text's shares, all groups one after the other, from each profile."""
+    known = [{"name": name, "q": [x for part in parts for x in part]} for name, parts in sorted(PROFILES.items())]
+    table = F.from_json(F.lit(_json(known)), "array<struct<name: string, q: array<double>>>")
+    weight = F.from_json(F.lit(_json([WEIGHTS[g] for g, names in GROUPS.items() for _ in names])), "array<double>")
+
+    def half(a: Column, m: Column) -> Column:
+        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
+
+    def term(a: Column, q: Column) -> Column:
+        return _let((a + q) / 2, lambda m: (half(a, m) + half(q, m)) / 2)
 
-    def term(a: Column, x: float) -> Column:
-        m = (a + F.lit(x)) / 2
-        return half(a, m) + (x * F.log2(F.lit(x) / m) if x > 0 else F.lit(0.0))
+    def score(p: Column) -> Column:
+        terms = F.transform(shares, lambda a, i: F.get(weight, i) * term(a, F.get(p["q"], i)))
+        return F.struct(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("d"), p["name"].alias("name"))
 
-    terms = [term(p[i], x) for i, x in enumerate(q)]
-    return sum(terms[1:], terms[0]) / 2
+    return F.transform(table, score)
 
 
 def profile(stats: Column) -> Column:
     """The name of the nearest profile; 'blank' of a null, empty or blank text."""
-    scored = [F.struct(sum((WEIGHTS[g] * divergence(stats[g], q) for g, q in zip(GROUPS, parts, strict=True)), F.lit(0.0)).alias("d"), F.lit(name).alias("name")) for name, parts in sorted(PROFILES.items())]
-    return F.when(stats["n_lines"] == 0, "blank").otherwise(F.array_min(F.array(*scored))["name"])
+    return _let(stats, lambda s: F.when(s["n_lines"] == 0, "blank").otherwise(_let(F.concat(*(s[g] for g in GROUPS)), lambda v: F.array_min(divergences(v))["name"])))
 
 
 def is_prose(name: Column) -> Column:
