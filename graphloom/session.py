@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='graphloom-')}/graphloom_package", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
