@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.names import linked
 from graphloom.llm.quality import common_words, is_prose, profile, statistics
 from graphloom.llm.tokens import encoded
 
@@ -13,6 +14,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two spellings of one person or organisation."""
+    surfaces = _table(spark, sf, "entity_candidates").select("surface").unionByName(_table(spark, sf, "concept_clusters").select(F.explode("members").alias("surface")))
+    return linked(surfaces, _table(spark, sf, "name_forms"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every text by byte_bpe_50k."""
     return encoded(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -34,5 +41,5 @@ def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _measured(spark, sf).select("doc_id", s["n_words"].alias("n_words"), s["n_chars"].alias("n_chars"), s["n_lines"].alias("n_lines"), *rounded, profile(s).alias("profile"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_stats": p10_stats}
 SQL: dict[str, str] = {}
