@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.mixing import mixture, shares, sized
 from graphloom.llm.names import linked
 from graphloom.llm.quality import common_words, is_prose, profile, statistics
 from graphloom.llm.tokens import encoded
@@ -25,6 +26,17 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mixture, with their shard and copy."""
+    return mixture(sized(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")).select("shard", "source", "doc_id", "copy", "n_tokens", "place")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    sizes, targets = sized(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
+    return shares(mixture(sizes, targets), sizes, targets)
+
+
 def _measured(spark: SparkSession, sf: str) -> DataFrame:
     return statistics(_table(spark, sf, "documents").select("doc_id", "text"), "text", common_words(_table(spark, sf, "common_words")))
 
@@ -41,5 +53,5 @@ def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _measured(spark, sf).select("doc_id", s["n_words"].alias("n_words"), s["n_chars"].alias("n_chars"), s["n_lines"].alias("n_lines"), *rounded, profile(s).alias("profile"))
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats}
 SQL: dict[str, str] = {}
