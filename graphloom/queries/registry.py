@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.queries import processing
+from graphloom.queries import graph, processing
 
-_MODULES = (processing,)
+_MODULES = (graph, processing)
 
 
 def queries() -> dict[str, Callable]:
