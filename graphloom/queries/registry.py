@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.queries import graph, processing
+from graphloom.queries import actors, graph, processing
 
-_MODULES = (graph, processing)
+_MODULES = (graph, actors, processing)
 
 
 def queries() -> dict[str, Callable]:

@@ -72,7 +72,8 @@ _NO_PROPERTIES = "map<string,struct<t:string,s:string,i:bigint,f:double,b:boolea
 
 
 def _edges(df: DataFrame, source: Column, label: str, target: Column) -> DataFrame:
-    return df.select(edge_id(source, F.lit(label), target).alias("id"), F.lit(label).alias("label"), source.alias("source"), target.alias("target"), F.lit(None).cast(_NO_PROPERTIES).alias("properties")).distinct()
+    pairs = df.select(source.alias("source"), target.alias("target")).distinct()
+    return pairs.select(edge_id(F.col("source"), F.lit(label), F.col("target")).alias("id"), F.lit(label).alias("label"), "source", "target", F.lit(None).cast(_NO_PROPERTIES).alias("properties"))
 
 
 def _minted(df: DataFrame, pair: tuple[Column, Column], minting: Minting) -> DataFrame:
