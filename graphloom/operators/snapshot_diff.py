@@ -71,23 +71,26 @@ def elements(ontology: object) -> list[tuple[int, str, int]]:
 
 
 def merkle(items: list[tuple[int, str, int]]) -> list[int]:
-    """Digests in heap order, root first; each leaf covers an equal range of the 32-bit hash."""
+    """Digests in heap order, root first; each leaf covers an equal range of the 32-bit hash.
+
+    A digest is the sum of the elements' digests (modulo 2**64, offset to be
+    signed), so that a range has one digest however deep its tree goes on.
+    """
     depth = min(DEEPEST, max(0, (len(items) // LEAF).bit_length()))
-    leaves: list[list[bytes]] = [[] for _ in range(1 << depth)]
+    level = [0] * (1 << depth)
     for place, _, digest in items:
-        leaves[place >> (32 - depth)].append(digest.to_bytes(8, "big", signed=True))
-    level = [_h64(b"".join(x)) if x else 0 for x in leaves]
+        level[place >> (32 - depth)] += digest
     levels = [level]
     while len(level) > 1:
-        level = [_h64(a.to_bytes(8, "big", signed=True) + b.to_bytes(8, "big", signed=True)) if a or b else 0 for a, b in zip(level[0::2], level[1::2], strict=True)]
+        level = [a + b for a, b in zip(level[0::2], level[1::2], strict=True)]
         levels.append(level)
-    return [d for level in reversed(levels) for d in level]
+    return [(d + (1 << 63)) % (1 << 64) - (1 << 63) for level in reversed(levels) for d in level]
 
 
 def differing(a: list[int], b: list[int]) -> list[bool] | None:
     """Which of the ranges at the depth both trees have may hold differences, going down only below digests that differ; None if none."""
     depth = min(len(a) + 1, len(b) + 1).bit_length() - 2
-    at = [0] if depth == 0 or a[0] != b[0] else []
+    at = [0] if a[0] != b[0] else []
     for level in range(1, depth + 1):
         first = (1 << level) - 1
         at = [c for n in at for c in (2 * n, 2 * n + 1) if a[first + c] != b[first + c]]
