@@ -170,7 +170,8 @@ def suffixes(form: str) -> Iterator[tuple[str, str, str]]:
     """(suffix, refined, refined again) under which a form is indexed.
 
     Refining adds the class and kind with number, or the initial of the given
-    name; refining again the last letters of the other words.
+    name; refining again the last letters of the other words.  The ends of all
+    words together are one more suffix, their starts another.
     """
     kind, first, number, words = form.split("|", 3)
     field = f"{kind}{first}{number}" if kind == "o" else f"{kind}{first[:1]}"
@@ -185,6 +186,9 @@ def suffixes(form: str) -> Iterator[tuple[str, str, str]]:
                 keys.setdefault(w[max(0, cut - SHORTEST - 1) : cut], w[-3:])
     for key, other in keys.items():
         yield key, f"{key}|{field}", f"{key}|{field}|{other}"
+    if len(split) > 1:  # short ends, and starts, refined by those of the other words: for slips in two words
+        for key in ("&".join(sorted(w[-3:] for w in split)), "&".join(sorted(w[:3] for w in split)) + "^"):
+            yield key, f"{key}|{field}", f"{key}|{field}|{first}"
 
 
 def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most_forms: int = 100_000) -> DataFrame:

@@ -47,6 +47,7 @@ PROFILES: dict[str, tuple[tuple[float, ...], ...]] = {
     "prose": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.22, 0.76, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
     "table": ((0.02, 0.01, 0.00, 0.97, 0.00), (0.06, 0.56, 0.12, 0.22, 0.04), (0.00, 0.19, 0.81), (0.59, 0.35, 0.06)),
     "technical": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.03, 0.52, 0.44, 0.01, 0.00), (0.00, 0.00, 1.00), (0.93, 0.03, 0.04)),
+    "technical/dense": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.02, 0.50, 0.45, 0.02, 0.01), (0.00, 0.00, 1.00), (0.88, 0.03, 0.09)),
     "prose/sparse": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.06, 0.92, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
 }
 
