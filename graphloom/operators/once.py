@@ -54,13 +54,13 @@ def _probe(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 class OnceIndex:
     """Which identifiers have been delivered, under ``root``.
 
-    ``prefixes`` bounds what one task holds: an index of n identifiers has about
-    n / prefixes of them in each array; the first run fixes it, by default so
-    that its own arrays hold some 20,000.  Null identifiers name nothing and are
+    ``prefixes`` bounds what one task holds: an index or a batch of n identifiers has
+    about n / prefixes of them under each; the first run fixes it, by default so
+    that its own arrays hold some 2,000.  Set it where batches are far larger.  Null identifiers name nothing and are
     left out everywhere.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefixes: int | None = None, merge_at: int = 8, per_array: int = 20_000):
+    def __init__(self, spark: SparkSession, root: str, prefixes: int | None = None, merge_at: int = 8, per_array: int = 2_000):
         self.spark, self.log, self.prefixes, self.merge_at, self.per_array = spark, ManifestLog(spark, root), prefixes, merge_at, per_array
 
     def _hashed(self, ids: DataFrame, prefixes: int) -> DataFrame:
@@ -79,7 +79,7 @@ class OnceIndex:
         """Add the distinct non-null ``id`` as one immutable run; merge the runs if there are ``merge_at`` of them."""
         ids = ids.select("id").where("id is not null").distinct()
         version, manifest = self.log.latest()
-        prefixes = manifest.get("prefixes") or self.prefixes or max(8, ids.count() // self.per_array)
+        prefixes = manifest.get("prefixes") or self.prefixes or max(64, ids.count() // self.per_array)
         parts = [*manifest.get("parts", []), self._write_run(ids, prefixes)]
         if len(parts) >= self.merge_at:
             parts = [self._write_run(self._runs(parts).select(F.explode("ids").alias("id")), prefixes)]

@@ -69,7 +69,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def _emitted(spark: SparkSession, sf: str) -> OnceIndex:
     """The index of what an earlier pass has emitted."""
     seen = table(spark, sf, "diff_projections").select(F.explode("seen_events").alias("e")).select("e.*")
-    index = OnceIndex(spark, scratch(spark, "p7"))
+    rows = table(spark, sf, "journal").count()  # of the files' footers
+    index = OnceIndex(spark, scratch(spark, "p7"), prefixes=max(64, rows // 20_000))
     index.add(deliveries(seen).select(identifier("actor", "version").alias("id")))
     return index
 
@@ -99,7 +100,58 @@ _SEEN = f"""seen AS (
   SELECT DISTINCT trim(e.actor, {_WS}) AS actor, e.version AS version
   FROM (SELECT unnest(seen_events) AS e FROM diff_projections) WHERE trim(e.actor, {_WS}) <> '' AND e.version IS NOT NULL)"""
 
+# of one snapshot's element: its leaves as sorted text, numbers as numbers
+_LEAVES = """list_sort(list(t.fullkey || '|' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'n' || CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) WHEN t.type IN ('OBJECT', 'ARRAY') THEN lower(t.type) ELSE t.type || coalesce(CAST(t.atom AS VARCHAR), '') END))"""
 SQL = {
+    "p2_found": f"""
+WITH RECURSIVE saves AS (
+  SELECT store AS holder, version, json_extract(json, '$.ontology') AS o FROM snapshots WHERE store IS NOT NULL AND version IS NOT NULL AND json_valid(json)
+  QUALIFY row_number() OVER (PARTITION BY store, version ORDER BY id DESC) = 1), c AS (
+  SELECT DISTINCT lower(trim(commit_id)) AS id, lower(regexp_replace(parent, '\\s', '', 'g')) AS ref, repo FROM commits), snap AS (
+  SELECT lower(trim(commit_id)) AS id, any_value(CAST(snapshot AS JSON)) AS o FROM commits WHERE json_valid(snapshot) GROUP BY 1), hit AS (
+  SELECT c.id, c.repo, c.ref, p.id AS parent FROM c JOIN (SELECT DISTINCT id FROM c) p ON c.ref <> '' AND starts_with(p.id, c.ref)), up AS (
+  SELECT id, max(repo) AS repo, parent FROM (SELECT *, count(DISTINCT parent) OVER (PARTITION BY id, ref) AS n FROM (SELECT DISTINCT * FROM hit)) WHERE (n = 1 OR parent = ref) AND parent <> id GROUP BY id, parent), pair AS (
+  SELECT holder, CAST(version AS VARCHAR) AS version_key, holder || '/' || version AS now, holder || '/' || lag(version) OVER (PARTITION BY holder ORDER BY version) AS before FROM saves
+  UNION ALL SELECT repo, id, id, parent FROM up WHERE id IN (SELECT id FROM snap) AND parent IN (SELECT id FROM snap)), doc AS (
+  SELECT holder || '/' || version AS key, o FROM saves UNION ALL SELECT id, o FROM snap), part AS (
+  SELECT key, 0 AS part, unnest(from_json(json_extract(o, '$.nodes'), '["JSON"]')) AS e, generate_subscripts(from_json(json_extract(o, '$.nodes'), '["JSON"]'), 1) AS n FROM doc
+  UNION ALL SELECT key, 1, unnest(from_json(json_extract(o, '$.edges'), '["JSON"]')), generate_subscripts(from_json(json_extract(o, '$.edges'), '["JSON"]'), 1) FROM doc), el AS (
+  SELECT key, e, json_extract_string(e, '$.id') AS id FROM part QUALIFY row_number() OVER (PARTITION BY key, json_extract_string(e, '$.id') ORDER BY part DESC, n DESC) = 1), sig AS (
+  SELECT el.key, el.id, {_LEAVES} AS sig FROM el, json_tree(el.e) t WHERE regexp_matches(t.fullkey, '^\\$\\.(iri|types|label|source|target|properties)') GROUP BY el.key, el.id), both AS (
+  SELECT holder, version_key, id AS element_id, sig AS now, NULL AS was FROM pair JOIN sig ON key = pair.now WHERE before IS NOT NULL
+  UNION ALL SELECT holder, version_key, id, NULL, sig FROM pair JOIN sig ON key = pair.before), one AS (
+  SELECT holder, version_key, element_id, max(now) AS now, max(was) AS was FROM both GROUP BY ALL)
+SELECT holder, version_key, element_id, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change FROM one WHERE was IS DISTINCT FROM now""",
+    "p3_found": r"""
+WITH RECURSIVE names AS (SELECT DISTINCT name FROM node_types WHERE name IS NOT NULL),
+keys AS (SELECT name AS key, name AS parent, 0 AS rank FROM names UNION SELECT regexp_replace(iri, '\s', '', 'g'), name, 1 FROM node_types WHERE iri IS NOT NULL AND name IS NOT NULL),
+refs AS (SELECT DISTINCT name, regexp_replace(ref, '\s', '', 'g') AS ref FROM (SELECT name, unnest(supertypes) AS ref FROM node_types) WHERE ref IS NOT NULL),
+tried AS (SELECT name, ref, ref AS key, 0 AS local FROM refs UNION ALL SELECT name, ref, regexp_extract(name, '^[^:]*:') || ref, 1 FROM refs),
+type_up AS (SELECT DISTINCT name AS node, parent FROM (SELECT name, parent FROM tried JOIN keys USING (key) WHERE local = 0 OR rank = 0 QUALIFY rank() OVER (PARTITION BY name, ref ORDER BY local, rank) = 1)),
+c AS (SELECT DISTINCT lower(trim(commit_id)) AS id, lower(regexp_replace(parent, '\s', '', 'g')) AS ref FROM commits),
+hit AS (SELECT c.id, p.id AS parent, c.ref FROM c JOIN (SELECT DISTINCT id FROM c) p ON c.ref <> '' AND starts_with(p.id, c.ref)),
+commit_up AS (SELECT DISTINCT id AS node, parent FROM (SELECT *, count(*) OVER (PARTITION BY id, ref) AS n FROM hit) WHERE n = 1 OR parent = ref),
+segs AS (SELECT DISTINCT list_filter(coalesce(segments, string_split(path, '/')), lambda x: x IS NOT NULL AND x <> '') AS s FROM paths),
+pre AS (SELECT DISTINCT '/' || array_to_string(list_slice(s, 1, n), '/') AS node, CASE WHEN n > 1 THEN '/' || array_to_string(list_slice(s, 1, n - 1), '/') END AS parent FROM (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM segs)),
+up AS (SELECT 'node_types' AS tree, node, parent FROM type_up UNION ALL SELECT 'commits', node, parent FROM commit_up UNION ALL SELECT 'paths', node, parent FROM pre WHERE parent IS NOT NULL),
+nodes AS (SELECT 'node_types' AS tree, name AS node FROM names UNION SELECT 'commits', id FROM c UNION SELECT 'paths', node FROM pre),
+walk(tree, node, anc, depth) USING KEY (tree, node, anc) AS (
+  SELECT tree, node, node, 0::BIGINT FROM nodes
+  UNION
+  SELECT w.tree, w.node, up.parent, min(w.depth + 1) FROM walk w JOIN up ON up.tree = w.tree AND up.node = w.anc LEFT JOIN recurring.walk r ON r.tree = w.tree AND r.node = w.node AND r.anc = up.parent
+  WHERE r.depth IS NULL OR r.depth > w.depth + 1 GROUP BY w.tree, w.node, up.parent),
+loops AS (SELECT DISTINCT w.tree, w.node FROM walk w JOIN up ON up.tree = w.tree AND up.node = w.anc AND up.parent = w.node)
+SELECT tree, node, anc AS root, depth FROM walk w WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tree = w.tree AND up.node = w.anc)
+UNION ALL SELECT DISTINCT w.tree, w.node, '<cycle>', -1 FROM walk w JOIN loops l ON l.tree = w.tree AND l.node = w.anc""",
+    "p4_found": r"""
+WITH texts AS (
+  SELECT 'journal' AS origin, delivery_id AS record_id, payload AS text, '$' AS base, true AS unwrap FROM journal UNION ALL SELECT 'states', state_id, payload, '$', true FROM states
+  UNION ALL SELECT 'paths', path_id, e.value, '$.' || e.key, false FROM (SELECT path_id, unnest(map_entries(attributes)) AS e FROM paths)), valid AS (
+  SELECT origin, record_id, base, CASE WHEN unwrap AND json_type(text) = 'VARCHAR' THEN json_extract_string(text, '$') ELSE text END AS text FROM texts WHERE text IS NOT NULL AND json_valid(text)), doc AS (
+  SELECT origin, record_id, base, CAST(text AS JSON) AS j FROM valid WHERE json_valid(text) AND json_type(text) IN ('OBJECT', 'ARRAY')), el AS (
+  SELECT origin, record_id, base, t.fullkey AS k FROM doc, json_tree(doc.j) t WHERE t.type = 'OBJECT' AND ends_with(t.fullkey, ']')), near AS (
+  SELECT e.origin, e.record_id, e.base, e.k, max(length(a.k)) AS n FROM el e LEFT JOIN el a ON a.origin = e.origin AND a.record_id = e.record_id AND a.base = e.base AND starts_with(e.k, a.k || '.') GROUP BY ALL)
+SELECT origin, record_id, CASE WHEN n IS NULL THEN '$' ELSE base || regexp_replace(substr(k, 2, n - 1), '\."([^"]*)"', '.', 'g') END AS parent_path, base || regexp_replace(substr(k, 2), '\."([^"]*)"', '.', 'g') AS path FROM near""",
     "p1_found": f"""
 WITH {_DELIVERIES}, ev AS (
   SELECT actor, version, max(source) AS source, coalesce(max(TRY_CAST(nullif(regexp_extract(token, '([0-9]+)$', 1), '') AS BIGINT)), -1) AS num, min(arrived_at) AS arrived_at
