@@ -117,10 +117,10 @@ WITH RECURSIVE saves AS (
   SELECT key, 0 AS part, unnest(from_json(json_extract(o, '$.nodes'), '["JSON"]')) AS e, generate_subscripts(from_json(json_extract(o, '$.nodes'), '["JSON"]'), 1) AS n FROM doc
   UNION ALL SELECT key, 1, unnest(from_json(json_extract(o, '$.edges'), '["JSON"]')), generate_subscripts(from_json(json_extract(o, '$.edges'), '["JSON"]'), 1) FROM doc), el AS (
   SELECT key, e, json_extract_string(e, '$.id') AS id FROM part QUALIFY row_number() OVER (PARTITION BY key, json_extract_string(e, '$.id') ORDER BY part DESC, n DESC) = 1), sig AS (
-  SELECT el.key, el.id, {_LEAVES} AS sig FROM el, json_tree(el.e) t WHERE regexp_matches(t.fullkey, '^\\$\\.(iri|types|label|source|target|properties)') GROUP BY el.key, el.id), both AS (
-  SELECT holder, version_key, id AS element_id, sig AS now, NULL AS was FROM pair JOIN sig ON key = pair.now WHERE before IS NOT NULL
-  UNION ALL SELECT holder, version_key, id, NULL, sig FROM pair JOIN sig ON key = pair.before), one AS (
-  SELECT holder, version_key, element_id, max(now) AS now, max(was) AS was FROM both GROUP BY ALL)
+  SELECT el.key, el.id, {_LEAVES} AS sig FROM el, json_tree(el.e) t WHERE regexp_matches(t.fullkey, '^\\$\\.(iri|types|label|source|target|properties)') GROUP BY el.key, el.id), sides AS (
+  SELECT holder, version_key, id AS element_id, sig AS now, CAST(NULL AS VARCHAR[]) AS was FROM pair JOIN sig ON key = pair.now WHERE before IS NOT NULL
+  UNION ALL SELECT holder, version_key, id, CAST(NULL AS VARCHAR[]), sig FROM pair JOIN sig ON key = pair.before), one AS (
+  SELECT holder, version_key, element_id, max(now) AS now, max(was) AS was FROM sides GROUP BY ALL)
 SELECT holder, version_key, element_id, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change FROM one WHERE was IS DISTINCT FROM now""",
     "p3_found": r"""
 WITH RECURSIVE names AS (SELECT DISTINCT name FROM node_types WHERE name IS NOT NULL),
