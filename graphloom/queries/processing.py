@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import squeezed
 from graphloom.operators.change_feed import ChangeFeedTable, marks
-from graphloom.operators.hierarchy import hierarchy, path_links
+from graphloom.operators.hierarchy import descendants, hierarchy, lineage, path_links
 from graphloom.operators.incremental import TargetState, successful_ranges, taken
 from graphloom.operators.journal import deliveries, events
 from graphloom.operators.nested import array_objects
@@ -45,6 +45,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(hierarchy_links(spark, sf), F.col("coarse"), F.col("fine"))
 
 
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes lie below each type, commit and path."""
+    return descendants(lineage(hierarchy_links(spark, sf), F.col("coarse"), F.col("fine")))
+
+
 def nested_sources(spark: SparkSession, sf: str) -> list[tuple]:
     """(origin, rows, text column, base path, unwrap) of the JSON columns."""
     journal = table(spark, sf, "journal").select(F.col("delivery_id").alias("record_id"), F.col("payload").alias("text"))
@@ -89,7 +94,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     return _emitted(spark, sf).probe(batch).where("not known").select("actor", "version", "delivery_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_kept": p7_kept}
 
 # the characters of white space in the SQL below are those of functions.text.WHITE_SPACE
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
@@ -176,3 +181,5 @@ WITH {_DELIVERIES}, {_SEEN}
 SELECT actor, version, delivery_id FROM d ANTI JOIN seen USING (actor, version)
 QUALIFY row_number() OVER (PARTITION BY actor, version ORDER BY arrived_at NULLS FIRST, delivery_id) = 1""",
 }
+_WALK = SQL["p3_found"][: SQL["p3_found"].index("loops AS")].rstrip().rstrip(",")
+SQL["p3_descendants"] = f"{_WALK} SELECT tree, anc AS node, count(*) FILTER (depth > 0) AS descendants FROM walk GROUP BY tree, anc"
