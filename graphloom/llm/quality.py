@@ -16,6 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import stripped
+from graphloom.llm.tokens import _S
+
 BUCKETS = 256
 MOST_WORDS = 50_000
 
@@ -55,6 +58,7 @@ _MARK = r"^\s*(?:[-*•–—·▪◦‣+>]|\(?[0-9]{1,3}[.)\]]|\[[0-9]+\]|\(?[a
 _TIME = r"^[^\p{L}\p{N}]?(?:[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2})"
 _CLOSED = r"\S+\s+\S+\s+\S+\s+\S.*[.!?][\"')»”]*$"
 _STRUCTURAL = r"[^\p{L}\p{N}\s.,;!?'’\"“”«»¿¡:-]|_|:(?=\S)"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’‚…–—•·◦▪‣¿¡§°€£©®™✓→←⇒"
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x85]|\\x{2028}|\\x{2029}"
 
 
@@ -73,8 +77,9 @@ def _share(parts: list[Column]) -> Column:
 
 def line_kind(line: Column) -> Column:
     """Place in GROUPS['lines'] of a line taken by itself."""
-    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    delimited = line.rlike(_TIME) | (count(r"\|(?=\s|$)") >= 2) | (count("\t") >= 2) | (count(r";(?=\S)") >= 2) | (count(r",(?=\S)") >= 2) | (count(r"[^\s.,;:!?] {2,}\S") >= 2)
+    # a search for the plain text first: most lines have none of these
+    many = lambda text, pattern: line.contains(text) & (F.regexp_count(line, F.lit(pattern)) >= 2)
+    delimited = line.rlike(_TIME) | many("|", r"\|(?=\s|$)") | many("\t", "\t") | many(";", r";(?=\S)") | many(",", r",(?=\S)") | many("  ", r"[^\s.,;:!?] {2,}\S")
     return F.when(delimited, 3).when(line.rlike(_MARK), 2).when((F.length(line) < 36) & ~line.rlike(_CLOSED), 1).otherwise(0)
 
 
@@ -117,10 +122,10 @@ def statistics(df: DataFrame, text: str, function_words: dict[str, list[str]]) -
     other name pass through; a column ``stats`` is replaced.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    spaced = F.regexp_replace(t, r"(?U)\s+", " ")
+    spaced = F.regexp_replace(t, f"[{_S}]+", " ")
     split = F.struct(
         t.alias("text"),
-        F.filter(F.split(t, _LINE_END), lambda x: x.rlike(r"(?U)\S")).alias("raw"),
+        F.filter(F.split(t, _LINE_END), lambda x: stripped(x) != "").alias("raw"),
         F.filter(F.split(spaced, " "), lambda x: x != "").alias("tokens"),
         F.filter(F.split(spaced, r"[.!?]+[\"')»”]*(?: |$)"), lambda x: F.length(F.trim(x)) > 0).alias("sentences"),
     )
@@ -146,9 +151,9 @@ def _counts(s: Column, function_words: dict[str, list[str]]) -> Column:
 
     def classed(token: Column) -> Column:
         """Class, function-word languages and length of a token."""
-        bare = F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+        bare = F.btrim(token, F.lit(_SIGNS))
         ident = token.rlike(r"\p{L}[0-9_:#/=]|\p{Ll}\p{Lu}|[0-9]\p{L}")
-        kind = lambda b, f: F.when(b == "", 4).when(f > 0, 0).when(ident, 2).when(~b.rlike(r"\p{L}"), 3).otherwise(1)
+        kind = lambda b, f: F.when(b == "", 4).when(f > 0, 0).when(ident, 2).when(b.rlike(r"\p{L}"), 1).when(b.rlike(r"\p{N}"), 3).otherwise(4)
         used = lambda b: F.when(b == "", _number(F.lit(0))).otherwise(_languages(F.lower(b), function_words))
         return _let(bare, lambda b: _let(used(b), lambda f: F.struct(kind(b, f).alias("k"), f.alias("f"), _number(F.length(token)).alias("n"))))
 
@@ -159,10 +164,22 @@ def _counts(s: Column, function_words: dict[str, list[str]]) -> Column:
     def measured(x: Column) -> Column:
         return _let(F.size(F.filter(F.split(x, " "), lambda w: w != "")), lambda n: F.struct(F.when(n <= 2, 0).when(enumerated(x), 1).otherwise(2).alias("k"), _number(n).alias("n")))
 
+    # one pass over the tokens: characters by class, words, and words and characters by language
+    languages = range(len(function_words))
+    names = [*(f"k{k}" for k in range(5)), "words", "length", *(f"l{i}" for i in languages), *(f"c{i}" for i in languages)]
+
+    def added(acc: Column, x: Column) -> Column:
+        word = x["k"] < 4
+        spoken = [F.getbit(x["f"], F.lit(i)) == 1 for i in languages]
+        more = [*(F.when(x["k"] == k, x["n"]).otherwise(0) for k in range(5)), F.when(word, 1).otherwise(0), F.when(word, x["n"]).otherwise(0), *(F.when(on, 1).otherwise(0) for on in spoken), *(F.when(on, x["n"]).otherwise(0) for on in spoken)]
+        return F.struct(*(_number(acc[n] + m).alias(n) for n, m in zip(names, more, strict=True)))
+
+    zero = F.struct(*(_number(F.lit(0)).alias(n) for n in names))
+    totals = F.aggregate(s["tokens"], zero, lambda acc, t: _let(classed(t), lambda x: added(acc, x)))
     count = lambda pattern: F.regexp_count(s["text"], F.lit(pattern))
     return F.struct(
         by_kind.alias("kinds"), distinct.alias("distinct"), all_.alias("all"), closed.alias("closed"), F.size(s["raw"]).alias("n_lines"),
-        F.transform(s["tokens"], classed).alias("words"), F.transform(s["sentences"], measured).alias("sentences"),
+        totals.alias("totals"), F.transform(s["sentences"], measured).alias("sentences"),
         count(r"\p{L}").alias("letters"), count(r"\p{N}").alias("digits"), count(_STRUCTURAL).alias("structural"), F.length(s["text"]).alias("n_chars"),
     )
 
@@ -173,21 +190,21 @@ def _shares(s: Column, languages: int) -> Column:
     few = s["n_lines"] < 3  # a line or two, however short, are no list
     kinds = _share([s["kinds"][0] + F.when(few, s["kinds"][1]).otherwise(0), F.when(few, 0).otherwise(s["kinds"][1]), s["kinds"][2], s["kinds"][3]])
     of = lambda items, k: _total(F.filter(items, lambda x: x["k"] == k), lambda x: x["n"])
-    in_language = lambda i: F.filter(s["words"], lambda x: F.getbit(x["f"], F.lit(i)) == 1)
-    best = F.greatest(F.lit(0), F.lit(0), *(F.size(in_language(i)) for i in range(languages)))
+    t, zero = s["totals"], _number(F.lit(0))
+    best = F.greatest(zero, zero, *(t[f"l{i}"] for i in range(languages)))
     # function words of other languages than the one most used are plain words here
-    best_chars = F.greatest(_number(F.lit(0)), _number(F.lit(0)), *(_total(in_language(i), lambda x: x["n"]) for i in range(languages)))
-    n_words = F.size(F.filter(s["words"], lambda x: x["k"] < 4))
+    best_chars = F.greatest(zero, zero, *(t[f"c{i}"] for i in range(languages)))
+    n_words = t["words"].cast("int")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return F.struct(
         F.transform(F.concat(kinds, F.array(F.lit(-1.0))), lambda x: F.when(x < 0, repeated).otherwise(x * (1 - repeated))).alias("lines"),
-        _let(best_chars, lambda b: _share([b, of(s["words"], 1) + of(s["words"], 0) - b, of(s["words"], 2), of(s["words"], 3), of(s["words"], 4)])).alias("words"),
+        _let(best_chars, lambda b: _share([b, t["k1"] + t["k0"] - b, t["k2"], t["k3"], t["k4"]])).alias("words"),
         _share([of(s["sentences"], k) for k in range(3)]).alias("sentences"),
         _share([s["letters"], s["digits"], s["structural"]]).alias("chars"),
         n_words.alias("n_words"),
         s["n_chars"].alias("n_chars"),
         s["n_lines"].alias("n_lines"),
-        ratio(_total(F.filter(s["words"], lambda x: x["k"] < 4), lambda x: x["n"]), n_words).alias("mean_word_length"),
+        ratio(t["length"], n_words).alias("mean_word_length"),
         ratio(s["structural"], s["n_chars"]).alias("symbol_ratio"),
         ratio(s["closed"], s["n_lines"]).alias("punctuated_lines"),
         ratio(best, n_words).alias("common_words"),
