@@ -215,7 +215,7 @@ def divergences(shares: Column) -> Column:
     """array<struct<d, name>>: the weighted sum of Jensen-Shannon divergences (in bits) of a text's shares, all groups one after the other, from each profile."""
     known = [{"name": name, "q": [x for part in parts for x in part]} for name, parts in sorted(PROFILES.items())]
     table = F.from_json(F.lit(_json(known)), "array<struct<name: string, q: array<double>>>")
-    weight = F.from_json(F.lit(_json([WEIGHTS[g] for g, names in GROUPS.items() for _ in names])), "array<double>")
+    weight = F.array(*(F.lit(WEIGHTS[g]) for g, names in GROUPS.items() for _ in names))
 
     def half(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
