@@ -68,18 +68,13 @@ QUERIES = {
     "actor_run_keys": run_keys,
     "actor_snapshot_diff": snapshot_diff_nodes,
     "extract_terms_mock": extract_terms_mock,
-    "turtle_lines": lambda spark, sf: rdf.turtle_lines(rdf.to_rdf(_small(spark, sf)), {"region": "urn:region/", "nation": "urn:nation/", "local": "urn:graphloom:local#"}),
-    "jsonld_subjects": lambda spark, sf: rdf.jsonld_subjects(rdf.to_rdf(_small(spark, sf))),
-    "dot_lines": lambda spark, sf: viz.dot_lines(_small(spark, sf)),
-    "mermaid_lines": lambda spark, sf: viz.mermaid_lines(_small(spark, sf)),
+    "turtle_lines": lambda spark, sf: rdf.turtle_lines(rdf.to_rdf(tables_graph.read(spark, sf)), {"region": "urn:region/", "nation": "urn:nation/", "local": "urn:graphloom:local#"}),
+    "jsonld_subjects": lambda spark, sf: rdf.jsonld_subjects(rdf.to_rdf(tables_graph.read(spark, sf))),
+    "dot_lines": lambda spark, sf: viz.dot_lines(tables_graph.read(spark, sf)),
+    "mermaid_lines": lambda spark, sf: viz.mermaid_lines(tables_graph.read(spark, sf)),
 }
 
 
-def _small(spark: SparkSession, sf: str):
-    graph = tables_graph.read(spark, sf)
-    return graph.with_(nodes=graph.nodes.where("array_contains(types, 'Nation') or array_contains(types, 'Region')"), edges=graph.edges.where("label = 'inRegion'"))
-
-
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 _PATHS = "SELECT DISTINCT path FROM paths WHERE path IS NOT NULL AND starts_with(path, '/') AND NOT contains(path, '//') AND NOT ends_with(path, '/')"
 _EVENTS = f"SELECT trim(actor, {_WS}) AS actor, version, path, trim(kind) AS kind, load_id, delivery_id FROM journal WHERE trim(actor, {_WS}) <> '' AND version IS NOT NULL"

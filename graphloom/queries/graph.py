@@ -272,10 +272,10 @@ SELECT {_CUSTOMER} AS s, {_id('region', 'n_regionkey')} AS t FROM customer JOIN
 # RDF, names and vectors
 
 QUERIES |= {
-    "to_rdf_nodes": lambda spark, sf: rdf.node_triples(_few(spark, sf)).select("s", "p", "o_kind", "o", "datatype"),
+    "to_rdf_nodes": lambda spark, sf: rdf.node_triples(_graph(spark, sf)).select("s", "p", "o_kind", "o", "datatype"),
     "to_rdf_edges": lambda spark, sf: rdf.edge_triples(_graph(spark, sf)).select("s", "p", "o"),
-    "ntriples_lines": lambda spark, sf: rdf.ntriples_lines(rdf.node_triples(_few(spark, sf))),
-    "ntriples_round_trip": lambda spark, sf: rdf.parse_ntriples(rdf.ntriples_lines(rdf.node_triples(_few(spark, sf)))).select("s", "p", "o_kind", "o", "datatype"),
+    "ntriples_lines": lambda spark, sf: rdf.ntriples_lines(rdf.to_rdf(_graph(spark, sf))),
+    "ntriples_round_trip": lambda spark, sf: rdf.parse_ntriples(rdf.ntriples_lines(rdf.to_rdf(_graph(spark, sf)))).select("s", "p", "o_kind", "o", "datatype"),
     "curie_expand": lambda spark, sf: _types(spark, sf).select("name", expand_curie(F.col("name"), STANDARD_PREFIXES | {"kiselabanige": "urn:k#"}).alias("iri")),
     "local_name": lambda spark, sf: _types(spark, sf).select("name", local_name(F.col("iri")).alias("local")),
     "vector_topk": lambda spark, sf: _vectors(spark, sf, 5),
@@ -283,11 +283,6 @@ QUERIES |= {
 }
 
 
-def _few(spark: SparkSession, sf: str) -> Ontology:
-    graph = _graph(spark, sf)
-    return graph.with_(nodes=graph.nodes.where("array_contains(types, 'Customer') or array_contains(types, 'Part')"))
-
-
 def _types(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "node_types").where("name is not null and iri is not null").select("name", "iri").distinct()
 
