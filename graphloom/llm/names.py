@@ -3,8 +3,9 @@
 A surface is reduced to a form: class, given name or kind of organisation,
 family or proper words, number.  Forms are indexed by the suffixes of their
 words; a suffix that very many forms share is refined by the other fields
-instead of being dropped.  Pairs that meet under a suffix are compared word by
-word by their longest common subsequence.
+instead of being dropped.  A second index by letters has a common key for every
+pair that the comparison accepts.  Pairs that meet are compared word by word by
+their longest common subsequence.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ from graphloom.session import written as written_once
 SHORTEST = 5  # letters of a suffix
 CROWDED = 24  # forms under one suffix from which it is refined
 PACKED = 400  # forms under one refined suffix from which it is refined again
+# fixed values: letters in groups about equally frequent; any other sign goes by its code
+GROUPS = ("ejqvz", "tpgbx", "amfwk", "oldy", "isuc", "nrh")
+_GROUP = {c: i for i, letters in enumerate(GROUPS) for c in letters}
 
 # fixed values: words that say what kind of organisation it is, and short forms of them
 KINDS = (
@@ -191,6 +196,32 @@ def suffixes(form: str) -> Iterator[tuple[str, str, str]]:
             yield key, f"{key}|{field}", f"{key}|{field}|{first}"
 
 
+def _letters(words: str, untouched: int) -> list[str]:
+    """The sorted letters of so many of the groups, one text for each choice of groups."""
+    of = [""] * len(GROUPS)
+    for c in sorted("".join(words.split())):
+        of[_GROUP.get(c, ord(c) % len(GROUPS))] += c
+    return ["|".join(f"{i}{of[i]}" for i in some) for some in combinations(range(len(GROUPS)), untouched)]
+
+
+def exact_keys(form: str) -> list[str]:
+    """Keys of which every two forms that ``same_name`` accepts with two slips share one.
+
+    A slip takes at most one letter from either side whatever the order of the
+    words and the blanks between them, so it touches two groups of letters at
+    most: one slip leaves four of the six as they are, two leave two.  Two are
+    in the words only if all other fields are equal.
+    """
+    kind, first, number, words = form.split("|", 3)
+    one, two = len(GROUPS) - 2, len(GROUPS) - 4
+    if kind == "o":
+        return [f"o|{first}|{number}|{x}" for x in _letters(words, two)]
+    keys = [f"{kind}||{x}" for x in _letters(words, one)]
+    if kind == "p" and len(first) > 1:
+        keys += [f"p|{first}|{x}" for x in _letters(words, two)]
+    return keys
+
+
 def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most_forms: int = 100_000) -> DataFrame:
     """(surface_a, surface_b), a < b by code points: every two different strings that name the same person or organisation.
 
@@ -215,6 +246,10 @@ def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most
             rows = [(f, *key) for f in b["form"] for key in suffixes(f)]
             yield pd.DataFrame(rows, columns=["form", "k0", "k1", "k2"])
 
+    def index_exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(f, key) for f in b["form"] for key in exact_keys(f)], columns=["form", "key"])
+
     read_ = written_once(given.mapInPandas(read, "surface string, form string"), "names")
     keyed = read_.select("form").distinct().mapInPandas(index, "form string, k0 string, k1 string, k2 string")
     keyed = written_once(keyed, "suffixes")
@@ -223,6 +258,9 @@ def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most
     key = F.when(F.col("packed"), F.col("k2")).when(F.col("crowded"), F.col("k1")).otherwise(F.col("k0"))
     blocks = keyed.join(crowded, "k0", "left").join(packed, "k1", "left").select("form", key.alias("key")).distinct()
     met = blocks.alias("a").join(blocks.alias("b"), F.expr("a.key = b.key and a.form < b.form")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b"))
+    exact = read_.select("form").distinct().mapInPandas(index_exact, "form string, key string").select("form", F.xxhash64("key").alias("key"))
+    exact = written_once(exact, "letters")
+    met = met.unionByName(exact.alias("a").join(exact.alias("b"), F.expr("a.key = b.key and a.form < b.form")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b")))
 
     def judge(slips: int) -> object:
         @F.pandas_udf("boolean")

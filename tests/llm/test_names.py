@@ -79,3 +79,29 @@ def test_blocking_against_all_pairs(spark, seed):
     assert len(want - got) <= 0.02 * len(want)
     bad = [p for p in got - want if not any(same_name(f, g, 3) for f in forms[p[0]] for g in forms[p[1]])]
     assert not bad
+
+
+def every_pair(surfaces):
+    known = Forms([p for p in PAIRS if p[0]])
+    forms = {s: known.read(s) for s in surfaces}
+    return {tuple(sorted(p)) for p in itertools.combinations(surfaces, 2) if any(same_name(f, g) for f in forms[p[0]] for g in forms[p[1]])}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_one_word_names_lose_no_pair(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.choice([2, 3, 4]))).capitalize()
+    surfaces = {"Robert Martinez", "Robert Martines", "Robert Smith", "Robert Smyth", "Acme Corp", "Acne Corp"}
+    for _ in range(100):
+        shape, words = rng.choice(["Robert {}", "Ingrid {}", "R. {}", "{} Corp", "{}"]), [word() for _ in range(rng.choice([1, 1, 2]))]
+        for _ in range(3):
+            letters = [list(w) for w in words]
+            for _ in range(rng.choice([0, 1, 2])):
+                x = rng.choice(letters)
+                i = rng.randrange(len(x))
+                x[i:i + 1] = rng.choice([[], [x[i]] * 2, ["o"]])
+                x or x.append("b")
+            surfaces.add(shape.format(rng.choice([" ", ""]).join("".join(x) for x in letters)))
+    want = every_pair(surfaces)
+    assert {("Robert Martines", "Robert Martinez"), ("Robert Smith", "Robert Smyth"), ("Acme Corp", "Acne Corp")} <= want
+    assert not want - found(spark, surfaces)
