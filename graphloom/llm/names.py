@@ -24,9 +24,10 @@ from graphloom.session import written as written_once
 SHORTEST = 5  # letters of a suffix
 CROWDED = 24  # forms under one suffix from which it is refined
 PACKED = 400  # forms under one refined suffix from which it is refined again
-# fixed values: letters in groups about equally frequent; any other sign goes by its code
+FULL = 200  # forms under one key of letters from which it is refined
+# fixed values: letters in groups about equally frequent, and in others that cut across them; any other sign goes by its code
 GROUPS = ("ejqvz", "tpgbx", "amfwk", "oldy", "isuc", "nrh")
-_GROUP = {c: i for i, letters in enumerate(GROUPS) for c in letters}
+OTHER_GROUPS = ("alp", "imtw", "enyg", "rckx", "ozdsq", "ubfhvj")
 
 # fixed values: words that say what kind of organisation it is, and short forms of them
 KINDS = (
@@ -196,16 +197,16 @@ def suffixes(form: str) -> Iterator[tuple[str, str, str]]:
             yield key, f"{key}|{field}", f"{key}|{field}|{first}"
 
 
-def _letters(words: str, untouched: int) -> list[str]:
+def _letters(words: str, untouched: int, groups: tuple[str, ...] = GROUPS) -> list[str]:
     """The sorted letters of so many of the groups, one text for each choice of groups."""
-    of = [""] * len(GROUPS)
+    of = [""] * len(groups)
     for c in sorted("".join(words.split())):
-        of[_GROUP.get(c, ord(c) % len(GROUPS))] += c
-    return ["|".join(f"{i}{of[i]}" for i in some) for some in combinations(range(len(GROUPS)), untouched)]
+        of[next((i for i, g in enumerate(groups) if c in g), ord(c) % len(groups))] += c
+    return ["|".join(f"{i}{of[i]}" for i in some) for some in combinations(range(len(groups)), untouched)]
 
 
-def exact_keys(form: str) -> list[str]:
-    """Keys of which every two forms that ``same_name`` accepts with two slips share one.
+def exact_keys(form: str) -> list[tuple[str, bool]]:
+    """Keys, and whether the given name is still free under them, of which every two forms that ``same_name`` accepts with two slips share one.
 
     A slip takes at most one letter from either side whatever the order of the
     words and the blanks between them, so it touches two groups of letters at
@@ -215,13 +216,26 @@ def exact_keys(form: str) -> list[str]:
     kind, first, number, words = form.split("|", 3)
     one, two = len(GROUPS) - 2, len(GROUPS) - 4
     if kind == "o":
-        return [f"o|{first}|{number}|{x}" for x in _letters(words, two)]
-    keys = [f"{kind}||{x}" for x in _letters(words, one)]
+        return [(f"o|{first}|{number}|{x}", False) for x in _letters(words, two)]
+    keys = [(f"{kind}||{x}", kind == "p") for x in _letters(words, one)]
     if kind == "p" and len(first) > 1:
-        keys += [f"p|{first}|{x}" for x in _letters(words, two)]
+        keys += [(f"p|{first}|{x}", False) for x in _letters(words, two)]
     return keys
 
 
+def refined(form: str, free: bool) -> list[tuple[str, bool]]:
+    """What a full key of the form is refined by, and whether two such rows need not meet; accepted pairs still share one.
+
+    A free given name: itself without any one letter, and its initial, which two
+    full names need not meet under.  Else the letters in other groups.
+    """
+    kind, first, _, words = form.split("|", 3)
+    if free:
+        less = {first} | {first[:i] + first[i + 1 :] for i in range(len(first))} if len(first) > 1 else set()
+        return [(x, False) for x in sorted(less)] + [(f"{first[0]}^", len(first) > 1)]
+    return [(x, False) for x in _letters(words, len(GROUPS) - (2 if kind == "x" else 4), OTHER_GROUPS)]
+
+
 def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most_forms: int = 100_000) -> DataFrame:
     """(surface_a, surface_b), a < b by code points: every two different strings that name the same person or organisation.
 
@@ -248,7 +262,12 @@ def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most
 
     def index_exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(f, key) for f in b["form"] for key in exact_keys(f)], columns=["form", "key"])
+            yield pd.DataFrame([(f, *key) for f in b["form"] for key in exact_keys(f)], columns=["form", "key", "free"])
+
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, k, *more) for f, k, free in zip(b["form"], b["key"], b["free"], strict=True) for more in refined(f, free)]
+            yield pd.DataFrame(rows, columns=["form", "key", "more", "skip"])
 
     read_ = written_once(given.mapInPandas(read, "surface string, form string"), "names")
     keyed = read_.select("form").distinct().mapInPandas(index, "form string, k0 string, k1 string, k2 string")
@@ -258,9 +277,13 @@ def linked(surfaces: DataFrame, forms: DataFrame, surface: str = "surface", most
     key = F.when(F.col("packed"), F.col("k2")).when(F.col("crowded"), F.col("k1")).otherwise(F.col("k0"))
     blocks = keyed.join(crowded, "k0", "left").join(packed, "k1", "left").select("form", key.alias("key")).distinct()
     met = blocks.alias("a").join(blocks.alias("b"), F.expr("a.key = b.key and a.form < b.form")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b"))
-    exact = read_.select("form").distinct().mapInPandas(index_exact, "form string, key string").select("form", F.xxhash64("key").alias("key"))
+    exact = read_.select("form").distinct().mapInPandas(index_exact, "form string, key string, free boolean").select("form", F.xxhash64("key").alias("key"), "free")
     exact = written_once(exact, "letters")
-    met = met.unionByName(exact.alias("a").join(exact.alias("b"), F.expr("a.key = b.key and a.form < b.form")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b")))
+    full = exact.groupBy("key").count().where(F.col("count") > FULL).select("key", F.lit(True).alias("full"))
+    exact = exact.join(full, "key", "left")
+    apart_ = exact.where("full").select("form", "key", "free").mapInPandas(refine, "form string, key bigint, more string, skip boolean").select("form", F.xxhash64("key", "more").alias("key"), "skip")
+    exact = exact.where("full is null").select("form", "key", F.lit(False).alias("skip")).unionByName(apart_)
+    met = met.unionByName(exact.alias("a").join(exact.alias("b"), F.expr("a.key = b.key and a.form < b.form and not (a.skip and b.skip)")).select(F.col("a.form").alias("a"), F.col("b.form").alias("b")))
 
     def judge(slips: int) -> object:
         @F.pandas_udf("boolean")

@@ -105,3 +105,14 @@ def test_one_word_names_lose_no_pair(spark, seed):
     want = every_pair(surfaces)
     assert {("Robert Martines", "Robert Martinez"), ("Robert Smith", "Robert Smyth"), ("Acme Corp", "Acne Corp")} <= want
     assert not want - found(spark, surfaces)
+
+
+@pytest.mark.parametrize("crowd", [10, 40, 500])
+def test_a_hot_family_name_loses_no_pair(spark, crowd):
+    rng = random.Random(crowd)
+    part = lambda n: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n)).capitalize()
+    planted = [("Ingrid Sanosa", "Nigrid Sanosa"), ("Wodemi Sanosa", "W. Sanosa"), ("Robert Bulado Sanosa", "Robert Bulaod Sanosa"), ("Robert Tikeda Sanosa", "Robert Tiekda Sanoza")]
+    surfaces = {x for p in planted for x in p} | {f"{part(3)} Sanosa" for _ in range(crowd)} | {f"Robert {part(3)} Sanosa" for _ in range(crowd)}
+    want = every_pair(surfaces)
+    assert {tuple(sorted(p)) for p in planted} <= want
+    assert not want - found(spark, surfaces)
