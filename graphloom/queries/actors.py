@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import segments, workflow_run
+from graphloom.functions.paths import render, segments, workflow_run
 from graphloom.operators.extract import MockBackend, extract
 from graphloom.operators.journal import deliveries
 from graphloom.queries.tables import table
@@ -17,7 +17,8 @@ def records(spark: SparkSession, sf: str) -> Records:
     """The journal, paths and states as the projections take them; one load is one batch."""
     j = deliveries(table(spark, sf, "journal"))
     events = j.select("version", "token", "actor", "path", F.trim("kind").alias("kind"), F.col("event_at").alias("at"), "payload", F.col("load_id").cast("string").alias("batch"), F.col("delivery_id").alias("pos"))
-    paths = table(spark, sf, "paths").where("path is not null and path like '/%' and path not like '%//%' and path not like '%/'").select("path", "attributes")
+    parts = F.filter(F.coalesce("segments", F.split("path", "/")), lambda x: x.isNotNull() & (x != ""))  # as p3 reads them: the text is irregular or missing in places
+    paths = table(spark, sf, "paths").select(parts.alias("parts"), "attributes").where("size(parts) > 0").select(render(F.col("parts")).alias("path"), "attributes")
     states = table(spark, sf, "states").where("actor is not null").select("actor", "payload", "digest")
     return Records(paths, events, states)
 
