@@ -9,6 +9,7 @@ finds nothing to do: no record is skipped and none taken twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import stripped
 from graphloom.operators.journal import END, token_number
 from graphloom.session import scratch
-from graphloom.sources.manifest import ManifestLog
+from graphloom.sources.manifest import CommitConflict, ManifestLog, due
 
 
 class TargetState:
@@ -27,30 +28,69 @@ class TargetState:
     of them cannot be told from others and are no records: ``pending`` leaves
     them out.  Repeated source rows come out as often as they stand there;
     other columns pass through whatever their names.
+
+    What is published must say which version it was computed on; if another
+    writer has published since, it is refused, so no record is taken twice.
+    ``run`` does the whole round and computes anew in that case.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...]):
-        self.spark, self.keys, self.log = spark, keys, ManifestLog(spark, root)
+    def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...], merge_at: int = 16):
+        self.spark, self.keys, self.log, self.merge_at = spark, keys, ManifestLog(spark, root), merge_at
+
+    def version(self) -> int:
+        """The newest published version; 0 before the first."""
+        return self.log.latest()[0]
 
-    def current(self) -> DataFrame | None:
-        """The newest published target; None before the first."""
-        parts = self.log.latest()[1].get("parts", [])
-        if not parts:
-            return None
-        return self.spark.read.parquet(*(f"{self.log.root}/{p}" for p in parts))
+    def _read(self, parts: list) -> DataFrame | None:
+        return self.spark.read.parquet(*(f"{self.log.root}/{p}" for p, _ in parts)) if parts else None
 
-    def pending(self, source: DataFrame) -> DataFrame:
-        """Rows of ``source`` whose key and version no published target row has."""
+    def current(self, version: int | None = None) -> DataFrame | None:
+        """A published target, by default the newest; None before the first."""
+        manifest = self.log.latest()[1] if version is None else self.log.read(version) if version else {}
+        return self._read(manifest.get("parts", []))
+
+    def pending(self, source: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows of ``source`` whose key and version no row of that target has."""
         source = source.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in self.keys)))
-        target = self.current()
+        target = self.current(version)
         return source if target is None else source.join(target.select(*self.keys), list(self.keys), "left_anti")
 
-    def publish(self, rows: DataFrame) -> int:
-        """Write ``rows`` and make them part of the target, all or none of them; returns the new version."""
+    def publish(self, rows: DataFrame, after: int) -> int:
+        """Write ``rows`` and make them part of the target, all or none of them; returns the new version.
+
+        ``after`` is the version the rows were computed on; CommitConflict if it
+        is not the newest any more.
+        """
         version, manifest = self.log.latest()
+        if version != after:
+            raise CommitConflict(f"{self.log.root} has version {version}, not {after}")
+        parts = [*manifest.get("parts", []), [self._write(rows), 0]]
+        n, level = due([p[1] for p in parts], self.merge_at)
+        if n > 1:
+            parts = [*parts[:-n], [self._write(self._read(parts[-n:])), level]]
+        return self.log.publish(after + 1, {"parts": parts})
+
+    def _write(self, rows: DataFrame) -> str:
         part = scratch(self.spark, "part").rpartition("/")[2]
         rows.write.parquet(f"{self.log.root}/{part}")
-        return self.log.publish(version + 1, {"parts": [*manifest.get("parts", []), part]})
+        return part
+
+    def run(self, source: DataFrame, make: Callable[[DataFrame], DataFrame], attempts: int = 20) -> int:
+        """Publish what ``make`` makes of the pending rows of ``source``; returns the version that holds them.
+
+        ``make`` must keep the columns of key and version.  Nothing is published
+        where nothing is pending.
+        """
+        for _ in range(attempts):
+            at = self.version()
+            rows = make(self.pending(source, at))
+            if rows.isEmpty():
+                return at
+            try:
+                return self.publish(rows, at)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{self.log.root}: {attempts} attempts")
 
 
 def successful_ranges(batches: DataFrame) -> DataFrame:

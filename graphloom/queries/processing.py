@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,28 @@ from graphloom.operators.once import OnceIndex, identifier
 from graphloom.operators.references import commit_parents, type_parents
 from graphloom.operators.snapshot_diff import commit_changes, store_changes
 from graphloom.queries.tables import table
-from graphloom.session import scratch
+from graphloom.session import scratch, written
+
+
+WAVES = 4  # how many batches the journal is delivered in
+
+
+def loads(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    """The journal as it was delivered: (batch id, rows) of some loads after the other, all rows in one of them."""
+    journal = table(spark, sf, "journal")
+    first, last = journal.agg(F.min("load_id"), F.max("load_id")).first()
+    if first is None:
+        return [("all", journal)]
+    bounds = sorted({first + (last + 1 - first) * k // WAVES for k in range(WAVES + 1)})
+    load = F.coalesce("load_id", F.lit(last))
+    return [(f"{a}-{b}", journal.where((load >= a) & (load < b))) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Events that no successful batch has taken."""
-    known = events(table(spark, sf, "journal"))
+    known = written(events(table(spark, sf, "journal")), "events")
     target = TargetState(spark, scratch(spark, "p1"), ("actor", "version"))
-    target.publish(taken(known, successful_ranges(table(spark, sf, "actor_batches"))).select("actor", "version"))
+    target.publish(taken(known, successful_ranges(table(spark, sf, "actor_batches"))).select("actor", "version"), target.version())
     return target.pending(known).select("actor", "version")
 
 
@@ -64,37 +80,46 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("origin", "record_id", "parent_path", "path")
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Actors alive after all changes."""
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    """The actors' table after the journal's loads have been applied one after the other."""
     state = ChangeFeedTable(spark, scratch(spark, "p5"))
-    state.apply(marks(table(spark, sf, "journal")))
+    for _, rows in loads(spark, sf):
+        state.apply(marks(rows))
     return state.alive()
 
 
-def _emitted(spark: SparkSession, sf: str) -> OnceIndex:
-    """The index of what an earlier pass has emitted."""
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Actors alive after all changes."""
+    return _current(spark, sf).select("actor", "version")
+
+
+def p5_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The current row of every actor alive: version, time and payload of the last change applied."""
+    return _current(spark, sf).select("actor", "version", F.col("at").alias("event_at"), "payload")
+
+
+def _delivered(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """What the once-index has answered to each batch of the journal's loads, after it had taken in what an earlier pass has emitted."""
+    index = OnceIndex(spark, scratch(spark, "p7"))
     seen = table(spark, sf, "diff_projections").select(F.explode("seen_events").alias("e")).select("e.*")
-    rows = table(spark, sf, "journal").count()  # of the files' footers
-    index = OnceIndex(spark, scratch(spark, "p7"), prefixes=max(64, rows // 20_000))
-    index.add(deliveries(seen).select(identifier("actor", "version").alias("id")))
-    return index
+    index.add(deliveries(seen).select(identifier("actor", "version").alias("id")), "seen")
+    batches = loads(spark, sf)
+    rows = table(spark, sf, "journal").count() // len(batches)  # of the files' footers
+    answers = [index.ingest(deliveries(batch).select("actor", "version", *columns, identifier("actor", "version").alias("id")), name, list(columns), rows) for name, batch in batches]
+    return reduce(DataFrame.unionByName, answers)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Events delivered more than once, counting what an earlier pass has emitted."""
-    batch = deliveries(table(spark, sf, "journal")).groupBy("actor", "version").agg(F.count("*").alias("n"))
-    batch = batch.withColumn("id", identifier("actor", "version"))
-    return _emitted(spark, sf).probe(batch).where("known or n > 1").select("actor", "version")
+    """Events delivered more than once, counting what an earlier pass has emitted: known to the index when a batch came, or several times in a batch."""
+    return _delivered(spark, sf).where("known or copies > 1").select("actor", "version").distinct()
 
 
 def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
-    """The one delivery kept of each event that no earlier pass has emitted: the first to arrive, of several the least delivery_id."""
-    batch = deliveries(table(spark, sf, "journal")).groupBy("actor", "version").agg(F.min(F.struct("arrived_at", "delivery_id")).alias("first"))
-    batch = batch.select("actor", "version", F.col("first.delivery_id").alias("delivery_id"), identifier("actor", "version").alias("id"))
-    return _emitted(spark, sf).probe(batch).where("not known").select("actor", "version", "delivery_id")
+    """The one delivery kept of each event that no earlier pass has emitted: the first to arrive in its first batch, of several the least delivery_id."""
+    return _delivered(spark, sf, "arrived_at", "delivery_id").where("not known").select("actor", "version", "delivery_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found, "p5_state": p5_state, "p7_found": p7_found, "p7_kept": p7_kept}
 
 # the characters of white space in the SQL below are those of functions.text.WHITE_SPACE
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
@@ -173,6 +198,13 @@ WITH {_DELIVERIES}, e AS (
   SELECT actor, max(CASE WHEN what = 'created' THEN version END) AS born, max(CASE WHEN what = 'terminated' THEN version END) AS dead FROM e GROUP BY actor)
 SELECT k.actor AS actor, max(e.version) AS version FROM k JOIN e ON e.actor = k.actor AND e.version >= k.born
 WHERE k.born > coalesce(k.dead, k.born - 1) AND e.what IN ('created', 'statechanged') GROUP BY k.actor""",
+    "p5_state": f"""
+WITH {_DELIVERIES.replace("kind, arrived_at", "kind, event_at, payload, arrived_at")}, e AS (
+  SELECT actor, version, event_at, payload, regexp_replace(lower(translate(kind, {_WS}, '')), '[-_.:/]', '', 'g') AS what FROM d), k AS (
+  SELECT actor, max(CASE WHEN what = 'created' THEN version END) AS born, max(CASE WHEN what = 'terminated' THEN version END) AS dead FROM e GROUP BY actor)
+SELECT k.actor AS actor, e.version AS version, e.event_at AS event_at, e.payload AS payload FROM k JOIN e ON e.actor = k.actor AND e.version >= k.born
+WHERE k.born > coalesce(k.dead, k.born - 1) AND e.what IN ('created', 'statechanged')
+QUALIFY row_number() OVER (PARTITION BY k.actor ORDER BY e.version DESC, e.event_at DESC NULLS LAST, e.payload DESC NULLS LAST) = 1""",
     "p7_found": f"""
 WITH {_DELIVERIES}, {_SEEN}
 SELECT d.actor AS actor, d.version AS version FROM d LEFT JOIN seen USING (actor, version) GROUP BY d.actor, d.version HAVING count(*) > 1 OR count(seen.actor) > 0""",

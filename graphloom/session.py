@@ -26,14 +26,17 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only where the session leaves it unset and runs on one machine (tests) a
+    temporary folder is made and set as the checkpoint folder; a cluster without
+    a shared folder is an error, for no executor could read another's disk.
     """
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(said)
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,10 @@ class VersionError(RuntimeError):
     """A branch or commit that does not exist, exists already, or cannot be merged."""
 
 
+class _Moved(Exception):
+    """A head is no longer where it was."""
+
+
 @dataclass(frozen=True)
 class Commit:
     """One version: its parents, who made it and why, and where its snapshot is."""
@@ -50,71 +55,110 @@ def content_hash(graph: Ontology) -> str:
 
 
 class VersionedStore:
-    """Commits and branches under ``root``; every change publishes a new manifest."""
+    """Commits and branches under ``root``; every change publishes a new manifest.
+
+    Each change is made to the newest manifest, and made anew if another writer
+    was faster, so no commit and no branch is lost.  The current branch belongs
+    to this object, not to the folder.
+    """
 
     def __init__(self, spark: SparkSession, root: str, main: str = "main"):
-        self.spark, self.log = spark, ManifestLog(spark, root)
-        _, manifest = self.log.latest()
+        self.spark, self.log, self.current = spark, ManifestLog(spark, root), main
+        self._load(self.log.latest()[1])
+
+    def _load(self, manifest: dict) -> None:
         self.commits = {c["id"]: Commit(**c | {"parents": tuple(c["parents"]), "vocabulary": tuple(map(tuple, c["vocabulary"]))}) for c in manifest.get("commits", [])}
-        self.heads: dict[str, str | None] = manifest.get("heads", {main: None})
-        self.current: str = manifest.get("current", main)
-
-    def _publish(self) -> None:
-        version, _ = self.log.latest()
-        self.log.publish(version + 1, {"commits": [asdict(c) for c in self.commits.values()], "heads": self.heads, "current": self.current})
-
-    def _commit(self, graph: Ontology, parents: tuple[str, ...], message: str, author: str) -> str:
-        cid = hashlib.sha256(json.dumps([parents, message, content_hash(graph)]).encode()).hexdigest()
-        if cid not in self.commits:
-            part = scratch(self.spark, "commit").rpartition("/")[2]
-            for name in Ontology.PARTS:
-                getattr(graph, name).write.parquet(f"{self.log.root}/{part}/{name}")
-            now = datetime.datetime.now(datetime.UTC).isoformat()
-            self.commits[cid] = Commit(cid, parents, message, author, now, part, tuple(sorted(graph.vocabulary.items())), graph.iri)
-        self.heads[self.current] = cid
-        self._publish()
-        return cid
+        self.heads: dict[str, str | None] = {self.current: None} | manifest.get("heads", {})
+
+    def _update(self, change: Callable[[], None]) -> None:
+        """Publish what ``change`` does to the newest commits and heads."""
+
+        def made(version: int, manifest: dict) -> dict:
+            self._load(manifest)
+            change()
+            return {"commits": [asdict(c) for c in self.commits.values()], "heads": self.heads}
+
+        self.log.update(made)
+
+    def _commit(self, graph: Ontology, parents: Callable[[], tuple[str, ...]], message: str, author: str) -> str:
+        content, written, made = content_hash(graph), "", ""
+
+        def change() -> None:
+            nonlocal written, made
+            above = parents()
+            made = hashlib.sha256(json.dumps([above, message, content]).encode()).hexdigest()
+            if made not in self.commits:
+                if not written:
+                    written = scratch(self.spark, "commit").rpartition("/")[2]
+                    for name in Ontology.PARTS:
+                        getattr(graph, name).write.parquet(f"{self.log.root}/{written}/{name}")
+                now = datetime.datetime.now(datetime.UTC).isoformat()
+                self.commits[made] = Commit(made, above, message, author, now, written, tuple(sorted(graph.vocabulary.items())), graph.iri)
+            self.heads[self.current] = made
+
+        self._update(change)
+        return made
 
     def commit(self, message: str, author: str, graph: Ontology) -> str:
-        """A new head of the current branch."""
-        head = self.heads[self.current]
-        return self._commit(graph, (head,) if head else (), message, author)
+        """A new head of the current branch, above whatever is its head when it is published."""
+        return self._commit(graph, lambda: (h,) if (h := self.heads[self.current]) else (), message, author)
 
     def branch(self, name: str) -> None:
         """A new branch at the current head."""
-        if name in self.heads:
-            raise VersionError(f"branch {name} exists")
-        if self.heads[self.current] is None:
-            raise VersionError("the current branch has no commit")
-        self.heads[name] = self.heads[self.current]
-        self._publish()
+
+        def change() -> None:
+            if name in self.heads:
+                raise VersionError(f"branch {name} exists")
+            if self.heads[self.current] is None:
+                raise VersionError("the current branch has no commit")
+            self.heads[name] = self.heads[self.current]
+
+        self._update(change)
 
     def checkout(self, name: str) -> None:
-        """Make a branch the current one."""
+        """Make a branch the current one of this object."""
+        self._load(self.log.latest()[1])
         if name not in self.heads:
             raise VersionError(f"no branch {name}")
         self.current = name
-        self._publish()
 
     def move(self, name: str, commit: str) -> None:
         """Point a branch at a commit."""
-        if commit not in self.commits:
-            raise VersionError(f"no commit {commit}")
-        self.heads[name] = commit
-        self._publish()
+
+        def change() -> None:
+            if commit not in self.commits:
+                raise VersionError(f"no commit {commit}")
+            self.heads[name] = commit
+
+        self._update(change)
 
     def merge(self, other: str, strategy: str = "union", author: str = "") -> str:
-        """Merge a branch into the current one; the commit has both heads as parents."""
-        if other == self.current:
-            raise VersionError("a branch cannot be merged with itself")
-        if other not in self.heads:
-            raise VersionError(f"no branch {other}")
-        ours, theirs = self.heads[self.current], self.heads[other]
-        if ours is None or theirs is None:
-            raise VersionError("a branch without a commit cannot be merged")
-        if ours == theirs:
-            raise VersionError("both branches have the same head")
-        return self._commit(merge(self.as_of(ours), self.as_of(theirs), strategy), (ours, theirs), f"merge {other} into {self.current}", author)
+        """Merge a branch into the current one; the commit has both heads as parents.
+
+        If either head has moved before the merge is published, the new heads
+        are merged.
+        """
+        while True:
+            self._load(self.log.latest()[1])
+            if other == self.current:
+                raise VersionError("a branch cannot be merged with itself")
+            if other not in self.heads:
+                raise VersionError(f"no branch {other}")
+            ours, theirs = self.heads[self.current], self.heads[other]
+            if ours is None or theirs is None:
+                raise VersionError("a branch without a commit cannot be merged")
+            if ours == theirs:
+                raise VersionError("both branches have the same head")
+
+            def heads(ours: str = ours, theirs: str = theirs) -> tuple[str, ...]:
+                if (self.heads[self.current], self.heads[other]) != (ours, theirs):
+                    raise _Moved
+                return ours, theirs
+
+            try:
+                return self._commit(merge(self.as_of(ours), self.as_of(theirs), strategy), heads, f"merge {other} into {self.current}", author)
+            except _Moved:
+                continue
 
     def as_of(self, commit: str) -> Ontology:
         """The snapshot of a commit."""

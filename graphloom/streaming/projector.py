@@ -23,6 +23,7 @@ from graphloom.operators.provenance import Activity, ProvenanceLog
 from graphloom.operators.store import Delta, checked_against_schema, reconcile_nodes
 from graphloom.session import cut
 from graphloom.sources.delta_store import DeltaStore
+from graphloom.sources.manifest import CommitConflict
 from graphloom.streaming.projection import PROJECTIONS, Minting, Records
 
 EVENTS = "version bigint, token string, actor string, path string, kind string, at timestamp, payload string, batch string, pos bigint"
@@ -70,37 +71,62 @@ class Projector:
         if self.projection == "snapshot_diff" and not self.seen:
             raise ProjectorError("snapshot_diff needs a folder for what it has seen")
 
-    def _unseen(self, records: Records) -> Records:
-        """Records that no earlier batch has emitted."""
+    def _unseen(self, records: Records, seen: dict) -> tuple[Records, dict]:
+        """Records that no committed batch has emitted, and the identifiers seen once these are committed too."""
         spark = records.events.sparkSession
-        out = []
+        out, now = [], {}
         for name, rows, key in (("paths", records.paths, ("path",)), ("events", records.events, ("actor", "version")), ("states", records.states.withColumn("digest", F.coalesce("digest", F.lit("<none>"))), ("actor", "digest"))):
-            rows = rows.withColumn("id", identifier(*key))
-            new = OnceIndex(spark, f"{self.seen}/{name}").ingest(rows.select("id"))
+            index = OnceIndex(spark, f"{self.seen}/{name}")
+            rows = cut(rows.withColumn("id", identifier(*key)))
+            new = cut(index.looked_up(seen.get(name, []), rows.select("id"), [], rows.count()).where("not known").select("id"))
+            n = new.count()
+            now[name] = index.extended(seen.get(name, []), new, n) if n else seen.get(name, [])
             out.append(rows.join(new, "id", "left_semi").drop("id"))
-        return Records(*out)
+        return Records(*out), now
 
     def commit(self, records: Records, name: str, cursor: int | None = None) -> bool:
-        """Project and commit one batch; False if there is nothing in it."""
-        records = self._unseen(records) if self.projection == "snapshot_diff" else records
-        project = PROJECTIONS[self.projection] if isinstance(self.projection, str) else self.projection
-        delta = project(records, self.source, self.minting)
-        nodes = cut(delta.nodes) if delta.nodes is not None else None
-        edges = cut(delta.edges) if delta.edges is not None else None
-        delta = Delta(nodes, edges, delta.axioms)
-        if self.fixed_schema is not None:
-            checked_against_schema(self.fixed_schema, delta)
-        if nodes is not None:
-            nodes = reconcile_nodes(self.store.graph().nodes, nodes, self.policy)
-        n_nodes = nodes.count() if nodes is not None else 0
-        n_edges = edges.count() if edges is not None else 0
-        if not n_nodes and not n_edges:
-            return False
+        """Project and commit one batch; False if there is nothing in it or it has been committed before.
+
+        Graph, activity and, for the snapshot-diff shape, the identifiers seen
+        are published with one manifest, computed on the version before it; if
+        another writer publishes meanwhile the batch is projected anew.  So a
+        batch that failed can be repeated, and no update of a node is lost.
+        """
         label = self.projection if isinstance(self.projection, str) else self.projection.__name__
         activity = Activity(f"project:{label}", id=hashlib.sha256(f"{self.source}|{label}|{name}".encode()).hexdigest()).with_attribute("projection", label).with_attribute("source", self.source)
         if cursor is not None:
             activity = activity.with_attribute("cursor_version", cursor)
-        self.store.commit(Delta(nodes, edges, delta.axioms), activity.id)
+        project = PROJECTIONS[self.projection] if isinstance(self.projection, str) else self.projection
+        minted: Delta | None = None
+        while True:
+            version, manifest = self.store.state()
+            if self.store.is_done(manifest, activity.id):
+                if self.ledger is not None:  # the failure may have come before this; of one id the ledger counts one
+                    self.ledger.record(activity.finish())
+                return False
+            seen: dict = {}
+            if self.projection == "snapshot_diff":
+                fresh, seen = self._unseen(records, manifest.get("seen", {}))
+                minted = None
+            else:
+                fresh = records
+            if minted is None:
+                delta = project(fresh, self.source, self.minting)
+                minted = Delta(cut(delta.nodes) if delta.nodes is not None else None, cut(delta.edges) if delta.edges is not None else None, delta.axioms)
+                if self.fixed_schema is not None:
+                    checked_against_schema(self.fixed_schema, minted)
+            nodes = minted.nodes
+            if nodes is not None and self.policy != "last_write_wins":
+                nodes = cut(reconcile_nodes(self.store.graph(version).nodes, nodes, self.policy))
+            n_nodes = nodes.count() if nodes is not None else 0
+            n_edges = minted.edges.count() if minted.edges is not None else 0
+            if not n_nodes and not n_edges:
+                return False
+            try:
+                self.store.commit(Delta(nodes, minted.edges, minted.axioms), activity.finish(), version, (lambda _: {"seen": seen}) if seen else None)
+            except CommitConflict:
+                continue
+            break
         if self.ledger is not None:
             self.ledger.record(activity.finish())
         self.report.batches += 1

@@ -36,19 +36,19 @@ def test_against_brute_force_in_any_order_and_number_of_batches(spark):
     for seed in (1, 2):
         rows = feed(seed)
         random.Random(seed).shuffle(rows)
-        table = ChangeFeedTable(spark, scratch(spark, "cf"), buckets=4)
+        table = ChangeFeedTable(spark, scratch(spark, "cf"), per_bucket=1)
         for part in (rows[:100], rows[100:120], rows[100:], rows[:50]):
             table.apply(marks(spark.createDataFrame(part, J)))
-        assert {tuple(r) for r in table.alive().collect()} == brute(rows)
+        assert {(r.actor, r.version) for r in table.alive().collect()} == brute(rows)
 
 
 def test_only_touched_buckets_are_written(spark):
-    table = ChangeFeedTable(spark, scratch(spark, "cf"), buckets=8)
+    table = ChangeFeedTable(spark, scratch(spark, "cf"), per_bucket=8)
     table.apply(marks(spark.createDataFrame([(f"a{i}", 1, "created", None, 0) for i in range(50)], J)))
     before = table.log.latest()[1]["files"]
     table.apply(marks(spark.createDataFrame([("a7", 2, "terminated", None, 0)], J)))
     after = table.log.latest()[1]["files"]
-    assert sum(before[b] != after[b] for b in before) == 1
+    assert sum(after.get(b) != f for b, f in before.items()) == 1
     assert table.alive().count() == 49 and table.state().count() == 50
 
 
@@ -57,3 +57,17 @@ def test_empty(spark):
     assert table.alive().count() == 0
     table.apply(marks(spark.createDataFrame([], J)))
     assert table.alive().count() == 0
+
+
+def test_buckets_split_when_the_table_has_grown(spark):
+    table = ChangeFeedTable(spark, scratch(spark, "cf"), per_bucket=4)
+    frame = lambda a, b, kind: marks(spark.createDataFrame([(f"a{i}", 1 if kind == "created" else 2, kind, f"{kind}{i}", 0) for i in range(a, b)], J))
+    table.apply(frame(0, 3, "created"))
+    few = len(table.log.latest()[1]["files"])
+    table.apply(frame(3, 300, "created"))
+    table.apply(frame(10, 20, "terminated"))
+    table.apply(frame(0, 5, "state_changed"))
+    files = table.log.latest()[1]["files"]
+    assert len(files) > 4 * few and len({f.partition(":")[0] for f in files}) > 0
+    got = {(r.actor, r.version, r.payload) for r in table.alive().collect()}
+    assert got == {(f"a{i}", 2 if i < 5 else 1, f"{'state_changed' if i < 5 else 'created'}{i}") for i in range(300) if not 10 <= i < 20}

@@ -23,9 +23,9 @@ def test_pending_skips_published_and_nulls(spark):
     target = TargetState(spark, scratch(spark, "t"), ("k", "v"))
     source = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 1, None), (None, 1, "n"), ("c", None, "n")], "k string, v int, bucket string")
     assert sorted(map(tuple, target.pending(source).collect())) == [("a", 1, "x"), ("a", 1, "x"), ("b", 1, None)]
-    target.publish(target.pending(source).where("k = 'a'"))
+    target.publish(target.pending(source).where("k = 'a'"), 0)
     assert [tuple(r) for r in target.pending(source).collect()] == [("b", 1, None)]
-    target.publish(target.pending(source))
+    target.publish(target.pending(source), 1)
     assert target.pending(source).count() == 0
     changed = spark.createDataFrame([("a", 2, "y")], "k string, v int, bucket string")
     assert target.pending(changed).count() == 1
@@ -37,7 +37,7 @@ def test_a_failed_run_leaves_nothing(spark, monkeypatch):
     rows = spark.createDataFrame([("a",)], "k string")
     monkeypatch.setattr(ManifestLog, "publish", lambda self, v, m: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
-        target.publish(rows)
+        target.publish(rows, 0)
     monkeypatch.undo()
     assert target.current() is None and target.pending(rows).count() == 1
 
