@@ -3,236 +3,446 @@
 Four distributions describe a text: how its characters spread over kinds of
 lines, over kinds of words (function words of the language it uses most among
 them), how its words spread over kinds of sentences, and its classes of
-characters.  Each structural profile (prose of several kinds, lists, tables,
-code, junk) has the same four; the Jensen-Shannon divergences from them are
-added, and the least decides.  All of it is column expressions on one row.
+characters; a fifth is how its function words spread over those of all
+languages.  Each structural profile (prose of several kinds, lists, tables,
+code, junk) has the first four.  Each language has a prose profile of its own,
+taken from all texts of the corpus that read as prose in it.  A text's language
+is the one whose function words are nearest; its Jensen-Shannon divergences from
+the structural profiles and from the prose of its language are added up over the
+groups, and the least decides.
+
+Statistics are taken for many texts at a time: characters by a table of classes,
+tokens by a table that grows with the words met, sums by position.  Python runs
+once per line, sentence and distinct token.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+import re
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.functions.text import stripped
-from graphloom.llm.tokens import _S
+from graphloom.session import written
 
-BUCKETS = 256
 MOST_WORDS = 50_000
+MOST_LANGUAGES = 63
+CHUNK = 4 << 20  # characters measured at a time; a longer text is measured alone
+HELD_TOKENS = 1 << 18  # distinct tokens whose classes a worker keeps, of at most HELD_LENGTH characters
+HELD_LENGTH = 64
+LEAST_TEXTS = 20  # texts that a language must have before its prose has a profile of its own
 
 GROUPS = {
     "lines": ("flowing", "short", "marked", "delimited", "repeated"),
     "words": ("function", "plain", "identifier", "number", "sign"),
     "sentences": ("tiny", "enumerated", "full"),
-    "chars": ("letter", "digit", "structural"),
+    "chars": ("vowel", "consonant", "digit", "structural"),
 }
 WEIGHTS = {"lines": 1.5, "words": 1.0, "sentences": 1.0, "chars": 1.0}
 PROSE = ("prose", "technical")
 
 # fixed values: shares of the classes above in texts of each structure, in the order of GROUPS
 PROFILES: dict[str, tuple[tuple[float, ...], ...]] = {
-    "code/json": ((0.47, 0.45, 0.00, 0.03, 0.04), (0.00, 0.81, 0.00, 0.13, 0.06), (0.00, 1.00, 0.00), (0.74, 0.14, 0.12)),
-    "code/query": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.03, 0.29, 0.65, 0.03, 0.00), (0.00, 0.00, 1.00), (0.79, 0.03, 0.18)),
-    "code/triples": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.02, 0.01, 0.93, 0.00, 0.04), (0.00, 0.00, 1.00), (0.81, 0.09, 0.10)),
-    "junk/blob": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 0.00, 1.00, 0.00, 0.00), (1.00, 0.00, 0.00), (0.81, 0.16, 0.03)),
-    "junk/bytes": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 0.22, 0.78, 0.00, 0.00), (0.00, 0.00, 1.00), (0.63, 0.05, 0.32)),
-    "junk/function": ((0.60, 0.40, 0.00, 0.00, 0.00), (1.00, 0.00, 0.00, 0.00, 0.00), (0.07, 0.11, 0.82), (1.00, 0.00, 0.00)),
-    "junk/salad": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 1.00, 0.00, 0.00, 0.00), (0.84, 0.00, 0.16), (1.00, 0.00, 0.00)),
-    "junk/signs": ((0.57, 0.33, 0.00, 0.10, 0.00), (0.00, 0.17, 0.53, 0.00, 0.31), (0.04, 0.05, 0.91), (0.28, 0.03, 0.69)),
-    "list/inline": ((0.93, 0.06, 0.00, 0.00, 0.01), (0.05, 0.78, 0.06, 0.02, 0.09), (0.00, 1.00, 0.00), (0.89, 0.02, 0.09)),
-    "list/marked": ((0.00, 0.00, 0.92, 0.00, 0.08), (0.15, 0.45, 0.31, 0.05, 0.05), (0.02, 0.04, 0.94), (0.94, 0.02, 0.04)),
-    "list/menu": ((0.05, 0.43, 0.00, 0.00, 0.52), (0.33, 0.64, 0.03, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
-    "list/names": ((0.00, 0.99, 0.00, 0.00, 0.01), (0.01, 0.02, 0.97, 0.00, 0.00), (0.00, 0.00, 1.00), (0.93, 0.00, 0.07)),
-    "list/plain": ((0.00, 0.89, 0.00, 0.00, 0.11), (0.17, 0.61, 0.22, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
-    "list/repeated": ((0.02, 0.06, 0.06, 0.00, 0.86), (0.18, 0.81, 0.00, 0.00, 0.01), (0.00, 0.00, 1.00), (0.99, 0.00, 0.01)),
-    "prose": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.22, 0.76, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
-    "table": ((0.02, 0.01, 0.00, 0.97, 0.00), (0.06, 0.56, 0.12, 0.22, 0.04), (0.00, 0.19, 0.81), (0.59, 0.35, 0.06)),
-    "technical": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.03, 0.52, 0.44, 0.01, 0.00), (0.00, 0.00, 1.00), (0.93, 0.03, 0.04)),
-    "technical/dense": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.02, 0.50, 0.45, 0.02, 0.01), (0.00, 0.00, 1.00), (0.88, 0.03, 0.09)),
-    "prose/sparse": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.06, 0.92, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (1.00, 0.00, 0.00)),
+    "code/json": ((0.47, 0.45, 0.00, 0.03, 0.04), (0.00, 0.81, 0.00, 0.13, 0.06), (0.00, 1.00, 0.00), (0.30, 0.44, 0.14, 0.12)),
+    "code/query": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.03, 0.29, 0.65, 0.03, 0.00), (0.00, 0.00, 1.00), (0.30, 0.49, 0.03, 0.18)),
+    "code/triples": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.02, 0.01, 0.93, 0.00, 0.04), (0.00, 0.00, 1.00), (0.35, 0.46, 0.09, 0.10)),
+    "junk/blob": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 0.00, 1.00, 0.00, 0.00), (1.00, 0.00, 0.00), (0.19, 0.62, 0.16, 0.03)),
+    "junk/bytes": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 0.22, 0.78, 0.00, 0.00), (0.00, 0.00, 1.00), (0.49, 0.14, 0.05, 0.32)),
+    "junk/function": ((0.60, 0.40, 0.00, 0.00, 0.00), (1.00, 0.00, 0.00, 0.00, 0.00), (0.07, 0.11, 0.82), (0.41, 0.59, 0.00, 0.00)),
+    "junk/letters": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 1.00, 0.00, 0.00, 0.00), (0.00, 0.00, 1.00), (0.13, 0.87, 0.00, 0.00)),
+    "junk/salad": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.00, 1.00, 0.00, 0.00, 0.00), (0.84, 0.00, 0.16), (0.38, 0.62, 0.00, 0.00)),
+    "junk/signs": ((0.57, 0.33, 0.00, 0.10, 0.00), (0.00, 0.17, 0.53, 0.00, 0.31), (0.04, 0.05, 0.91), (0.11, 0.17, 0.03, 0.69)),
+    "list/inline": ((0.93, 0.06, 0.00, 0.00, 0.01), (0.05, 0.78, 0.06, 0.02, 0.09), (0.00, 1.00, 0.00), (0.33, 0.56, 0.02, 0.09)),
+    "list/marked": ((0.00, 0.00, 0.92, 0.00, 0.08), (0.15, 0.45, 0.31, 0.05, 0.05), (0.02, 0.04, 0.94), (0.37, 0.57, 0.02, 0.04)),
+    "list/menu": ((0.05, 0.43, 0.00, 0.00, 0.52), (0.33, 0.64, 0.03, 0.00, 0.00), (0.00, 0.00, 1.00), (0.39, 0.61, 0.00, 0.00)),
+    "list/names": ((0.00, 0.99, 0.00, 0.00, 0.01), (0.01, 0.02, 0.97, 0.00, 0.00), (0.00, 0.00, 1.00), (0.37, 0.56, 0.00, 0.07)),
+    "list/plain": ((0.00, 0.89, 0.00, 0.00, 0.11), (0.17, 0.61, 0.22, 0.00, 0.00), (0.00, 0.00, 1.00), (0.39, 0.61, 0.00, 0.00)),
+    "list/repeated": ((0.02, 0.06, 0.06, 0.00, 0.86), (0.18, 0.81, 0.00, 0.00, 0.01), (0.00, 0.00, 1.00), (0.39, 0.60, 0.00, 0.01)),
+    "prose": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.22, 0.76, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (0.40, 0.60, 0.00, 0.00)),
+    "prose/sparse": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.06, 0.92, 0.02, 0.00, 0.00), (0.00, 0.00, 1.00), (0.45, 0.55, 0.00, 0.00)),
+    "table": ((0.02, 0.01, 0.00, 0.97, 0.00), (0.06, 0.56, 0.12, 0.22, 0.04), (0.00, 0.19, 0.81), (0.23, 0.36, 0.35, 0.06)),
+    "technical": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.03, 0.52, 0.44, 0.01, 0.00), (0.00, 0.00, 1.00), (0.37, 0.56, 0.03, 0.04)),
+    "technical/dense": ((1.00, 0.00, 0.00, 0.00, 0.00), (0.02, 0.50, 0.45, 0.02, 0.01), (0.00, 0.00, 1.00), (0.34, 0.54, 0.03, 0.09)),
 }
 
-_MARK = r"^\s*(?:[-*•–—·▪◦‣+>]|\(?[0-9]{1,3}[.)\]]|\[[0-9]+\]|\(?[a-z][.)])\s+\S"
-_TIME = r"^[^\p{L}\p{N}]?(?:[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2})"
-_CLOSED = r"\S+\s+\S+\s+\S+\s+\S.*[.!?][\"')»”]*$"
-_STRUCTURAL = r"[^\p{L}\p{N}\s.,;!?'’\"“”«»¿¡:-]|_|:(?=\S)"
+# kinds of lines
+_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.compile(f"[{_WS}]+")
+_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python alone
+_LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+_MARK = re.compile(r"\s*(?:[-*•–—·▪◦‣+>]|\(?[0-9]{1,3}[.)\]]|\[[0-9]+\]|\(?[a-z][.)])\s+\S", re.A)
+_TIME = re.compile(r"[\W_]?(?:[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2})")
+_CLOSED = re.compile(r"\S+\s+\S+\s+\S+\s+\S.*[.!?][\"')»”]*$", re.A)
+_DELIMITERS = {"|": re.compile(r"\|(?=\s|$)", re.A), "\t": re.compile("\t"), ";": re.compile(r";(?=\S)", re.A), ",": re.compile(r",(?=\S)", re.A), "  ": re.compile(r"[^\s.,;:!?] {2,}\S", re.A)}
+_FINAL = re.compile(r"[.!?;:][\"')»”]*$")
+# sentences and their clauses
+_SENTENCE_END = re.compile(r"[.!?]+[\"')»”]*(?: |$)")
+_CLAUSE_END = re.compile("[,;/>|·•] ")
+# tokens
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’‚…–—•·◦▪‣¿¡§°€£©®™✓→←⇒"
-_LINE_END = "\r\n|[\n\r\x0b\x0c\x85]|\\x{2028}|\\x{2029}"
+_IDENTIFIER = regex.compile(r"\p{L}[0-9_:#/=]|\p{Ll}\p{Lu}|[0-9]\p{L}")
+_LETTER, _NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+# characters that are neither letters, digits nor white space and yet say nothing of structure
+_PLAIN = " \t\n\x0b\x0c\r.,;!?'’\"“”«»¿¡-"
+_OTHER, _VOWEL, _CONSONANT, _FOREIGN, _IS_DIGIT, _STRUCTURAL, _COLON, _UNKNOWN = 0, 1, 2, 3, 4, 5, 6, 255
+FOREIGN_VOWELS = 0.4  # letters of other scripts than Latin count as so much vowel
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), then)[0]
+def _letter(c: str) -> int:
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    return _VOWEL if base in "aeiouyæøœ" else _CONSONANT if "a" <= base <= "z" or base in "ßłđðþ" else _FOREIGN
 
 
-def _total(items: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + of(x))
-
-
-def _share(parts: list[Column]) -> Column:
-    """Counts as shares of their sum; all 0 if there is nothing."""
-    return _let(F.array(*(p.cast("double") for p in parts)), lambda a: _let(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda s: F.transform(a, lambda x: F.when(s > 0, x / s).otherwise(0.0))))
-
-
-def line_kind(line: Column) -> Column:
+def line_kind(line: str) -> int:
     """Place in GROUPS['lines'] of a line taken by itself."""
-    # a search for the plain text first: most lines have none of these
-    many = lambda text, pattern: line.contains(text) & (F.regexp_count(line, F.lit(pattern)) >= 2)
-    delimited = line.rlike(_TIME) | many("|", r"\|(?=\s|$)") | many("\t", "\t") | many(";", r";(?=\S)") | many(",", r",(?=\S)") | many("  ", r"[^\s.,;:!?] {2,}\S")
-    return F.when(delimited, 3).when(line.rlike(_MARK), 2).when((F.length(line) < 36) & ~line.rlike(_CLOSED), 1).otherwise(0)
+    if ":" in line and _TIME.match(line):
+        return 3
+    for sign, pattern in _DELIMITERS.items():
+        if sign in line and len(pattern.findall(line)) >= 2:
+            return 3
+    if _MARK.match(line):
+        return 2
+    return 1 if len(line) < 36 and not _CLOSED.search(line) else 0
 
 
 def common_words(words: DataFrame) -> dict[str, list[str]]:
-    """Language to its function words, of a table (lang, word) of at most MOST_WORDS rows; rows with a null are left out."""
+    """Language to its function words, of a table (lang, word) of at most MOST_WORDS rows and MOST_LANGUAGES languages; rows with a null are left out."""
     rows = words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} function words")
     out: dict[str, list[str]] = {}
     for lang, word in sorted(map(tuple, rows)):
         out.setdefault(lang, []).append(word)
+    if len(out) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return out
 
 
-def _languages(word: Column, known: dict[str, list[str]]) -> Column:
-    """Bits of the languages in which the word is a function word."""
-    bits: dict[str, int] = {}
-    for k, lang in enumerate(sorted(known)):
-        for w in known[lang]:
-            bits[w] = bits.get(w, 0) | 1 << k
-    table = [([], []) for _ in range(BUCKETS)]
-    for w, b in bits.items():
-        slot = table[len(w.encode()) * 31 % 16 * 16 + (ord(w[0]) % 16)]
-        slot[0].append(w)
-        slot[1].append(b)
-    keys = F.from_json(F.lit(_json([s[0] for s in table])), "array<array<string>>")
-    values = F.from_json(F.lit(_json([s[1] for s in table])), "array<array<bigint>>")
-    slot = F.octet_length(word) * 31 % 16 * 16 + F.ascii(word) % 16
-    return _let(slot.cast("int"), lambda s: F.coalesce(F.get(F.get(values, s), (F.array_position(F.get(keys, s), word) - 1).cast("int")), F.lit(0).cast("bigint")))
-
-
-def _json(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False)
+class Tokens(dict):
+    """Token to the row of its classes, made when it is first met: kind, length, languages in bits, place among the function words."""
+
+    def __init__(self, function_words: dict[str, list[str]]):
+        super().__init__()
+        self.words = sorted({w for ws in function_words.values() for w in ws})
+        self.place = {w: i for i, w in enumerate(self.words)}
+        self.bits: dict[str, int] = {}
+        for k, lang in enumerate(sorted(function_words)):
+            for w in function_words[lang]:
+                self.bits[w] = self.bits.get(w, 0) | 1 << k
+        self.rows: list[tuple[int, int, int, int]] = []
+        self._table = np.zeros((0, 4), np.int64)
+
+    def classes(self, token: str) -> tuple[int, int, int, int]:
+        bare = token.strip(_SIGNS)
+        word = bare.lower()
+        bits = self.bits.get(word, 0) if bare else 0
+        if not bare:
+            kind = 4
+        elif bits:
+            kind = 0
+        elif _IDENTIFIER.search(token):
+            kind = 2
+        else:
+            kind = 1 if _LETTER.search(bare) else 3 if _NUMBER.search(bare) else 4
+        return kind, len(token), bits, self.place[word] if bits else -1
+
+    def __missing__(self, token: str) -> int:
+        at = len(self.rows)
+        self.rows.append(self.classes(token))
+        if len(token) <= HELD_LENGTH:
+            self[token] = at
+        return at
+
+    def table(self, codes: np.ndarray) -> np.ndarray:
+        """The classes of tokens, a row each."""
+        if len(self.rows) > len(self._table):
+            self._table = np.concatenate([self._table, np.array(self.rows[len(self._table) :], np.int64)])
+        return self._table[codes]
+
+    def trimmed(self) -> None:
+        """Forget all tokens if there are too many: they are classed anew when met."""
+        if len(self.rows) > HELD_TOKENS:
+            self.clear()
+            self.rows, self._table = [], np.zeros((0, 4), np.int64)
+
+
+_CLASSES = np.full(0x110000, _UNKNOWN, np.uint8)
+
+
+def character_classes(points: np.ndarray) -> np.ndarray:
+    """The class of each code point."""
+    found = _CLASSES[points]
+    new = np.unique(points[found == _UNKNOWN])
+    if len(new):
+        for p in new.tolist():
+            c = chr(p)
+            kind = unicodedata.category(c)[0]
+            _CLASSES[p] = _letter(c) if kind == "L" else _IS_DIGIT if kind == "N" else _COLON if c == ":" else _OTHER if c in _PLAIN else _STRUCTURAL
+        found = _CLASSES[points]
+    return found
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts as shares of their sums; all 0 if there is nothing."""
+    total = counts.sum(1, keepdims=True)
+    return np.divide(counts, total, out=np.zeros(counts.shape), where=total > 0)
+
+
+def measured(texts: list[str], tokens: Tokens, languages: int) -> dict[str, np.ndarray | list]:
+    """The statistics of some texts, by name."""
+    n = len(texts)
+    # lines, and sentences with their words
+    kinds, all_, distinct, n_lines, closed = np.zeros((n, 4)), np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+    sentences, echoed = np.zeros((n, 3)), np.zeros(n)
+    codes: list[int] = []
+    ends = np.zeros(n, np.int64)
+    for d, text in enumerate(texts):
+        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
+        codes += [tokens[w] for w in words]
+        ends[d] = len(codes)
+        raw = [x for x in _LINE_END.split(text) if x.strip(_WS)]
+        n_lines[d] = len(raw)
+        seen: set[str] = set()
+        for x in raw:
+            line = x.rstrip(" ")
+            kinds[d, line_kind(line)] += len(line)
+            bare = line.lstrip(" ")
+            all_[d] += len(bare)
+            if bare not in seen:
+                seen.add(bare)
+                distinct[d] += len(bare)
+            if _FINAL.search(line[-64:]) or (len(line) > 64 and _FINAL.search(line)):
+                closed[d] += 1
+        echoed[d] = sum(len(a) for a, b in zip(words, words[1:], strict=False) if a == b)
+        for s in _SENTENCE_END.split(" ".join(words)):
+            if not s:
+                continue
+            size = s.count(" ") + (s[0] != " ") - (s[-1] == " " and len(s) > 1)
+            if size <= 2:
+                sentences[d, 0] += size
+                continue
+            clauses = sum(1 for c in _CLAUSE_END.split(s) if c.strip(" "))
+            listed = clauses >= 5 and s.strip(" ").count(" ") + 1 <= 4.5 * clauses
+            sentences[d, 1 if listed else 2] += size
+    # tokens
+    classes = tokens.table(np.array(codes, np.int64))
+    kind, length, bits, place = classes.T if len(classes) else np.zeros((4, 0), np.int64)
+    doc = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+    chars = np.bincount(doc * 5 + kind, weights=length, minlength=5 * n).reshape(n, 5)
+    word = kind < 4
+    n_words = np.bincount(doc[word], minlength=n)
+    word_chars = np.bincount(doc[word], weights=length[word], minlength=n)
+    spoken, spoken_chars = np.zeros((n, languages + 1)), np.zeros((n, languages + 1))
+    for k in range(languages):
+        on = np.flatnonzero(bits >> k & 1)
+        spoken[:, k] = np.bincount(doc[on], minlength=n)
+        spoken_chars[:, k] = np.bincount(doc[on], weights=length[on], minlength=n)
+    best_chars = spoken_chars.max(1)
+    used = place >= 0
+    pairs, times = np.unique(doc[used] * max(1, len(tokens.words)) + place[used], return_counts=True)
+    # characters
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    found = character_classes(points)
+    structural = found == _STRUCTURAL
+    colons = np.flatnonzero(found == _COLON)
+    last = np.zeros(len(points) + 1, bool)
+    last[bounds[1:]] = True  # the place after the end of a text
+    follows = np.append(points, 32)[colons + 1]
+    structural[colons] = ~last[colons + 1] & ~np.isin(follows, [9, 10, 11, 12, 13, 32])
+    per_text = lambda on: np.diff(np.append(0, np.cumsum(on))[bounds])
+    vowels, consonants, foreign = per_text(found == _VOWEL), per_text(found == _CONSONANT), per_text(found == _FOREIGN)
+    digits, signs = per_text(found == _IS_DIGIT), per_text(structural)
+    by_class = np.column_stack([vowels + FOREIGN_VOWELS * foreign, consonants + (1 - FOREIGN_VOWELS) * foreign, digits, signs])
+    # shares
+    few = n_lines < 3  # a line or two, however short, are no list
+    kinds[few, 0] += kinds[few, 1]
+    kinds[few, 1] = 0
+    repeated = 1 - np.divide(distinct, all_, out=np.ones(n), where=all_ > 0)  # lines that stand there before, or words that repeat the one before
+    repeated = np.maximum(repeated, np.divide(echoed, chars.sum(1), out=np.zeros(n), where=chars.sum(1) > 0))
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
+    n_chars = np.diff(bounds)
+    return {
+        "lines": np.column_stack([_shares(kinds) * (1 - repeated[:, None]), repeated]),
+        # function words of other languages than the one most used are plain words here
+        "words": _shares(np.column_stack([best_chars, chars[:, 1] + chars[:, 0] - best_chars, chars[:, 2:]])),
+        "sentences": _shares(sentences),
+        "chars": _shares(by_class),
+        "n_words": n_words, "n_chars": n_chars, "n_lines": n_lines, "mean_word_length": ratio(word_chars, n_words), "symbol_ratio": ratio(signs, n_chars),
+        "punctuated_lines": ratio(closed, n_lines), "common_words": ratio(spoken.max(1), n_words), "best": np.where(spoken.max(1) > 0, spoken.argmax(1), -1),
+        "function": (pairs, times),
+    }
+
+
+_SHARES = T.ArrayType(T.DoubleType())
+STATS = T.StructType(
+    [
+        *(T.StructField(g, _SHARES) for g in GROUPS),
+        *(T.StructField(c, T.IntegerType()) for c in ("n_words", "n_chars", "n_lines")),
+        *(T.StructField(c, T.DoubleType()) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")),
+        T.StructField("best", T.IntegerType()),
+        T.StructField("function", T.ArrayType(T.StructType([T.StructField("word", T.IntegerType()), T.StructField("n", T.IntegerType())]))),
+    ]
+)
 
 
 def statistics(df: DataFrame, text: str, function_words: dict[str, list[str]]) -> DataFrame:
-    """``df`` with one column ``stats``: the distributions named in GROUPS and basic counts.
+    """``df`` with one column ``stats``: the distributions named in GROUPS, basic counts, and function words.
 
-    A null text counts as empty: all counts and shares are 0.  Columns of any
-    other name pass through; a column ``stats`` is replaced.
+    ``best`` is the place of the language whose function words are most, among
+    the sorted languages, -1 without any; ``function`` counts the function words
+    by their place among those of all languages, sorted.  A null text counts as
+    empty: all counts and shares are 0.  Columns of any other name pass through;
+    a column ``stats`` is replaced.
+    """
+    rest = [c for c in df.columns if c != "stats"]
+    given = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("measured"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("stats", STATS)])
+    languages = len(function_words)
+
+    def as_arrow(found: dict, n: int, tokens: Tokens) -> pa.StructArray:
+        fields = []
+        for f in STATS:
+            value = found[f.name]
+            if f.name == "function":
+                pairs, times = value
+                rows, place = np.divmod(pairs, max(1, len(tokens.words)))
+                items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(times.astype(np.int32))], ["word", "n"])
+                fields.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), items))
+            elif f.name in GROUPS:
+                fields.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * value.shape[1]), pa.array(value.ravel())))
+            else:
+                fields.append(pa.array(value, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.float64()))
+        return pa.StructArray.from_arrays(fields, STATS.names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(function_words)
+        for batch in batches:
+            texts = batch.column(len(rest)).to_pylist()
+            start = 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHUNK):
+                    size += len(texts[stop])
+                    stop += 1
+                found = measured(texts[start:stop], tokens, languages)
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], as_arrow(found, stop - start, tokens)], names=schema.names)
+                tokens.trimmed()
+                start = stop
+
+    out = given.mapInArrow(rows, schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "stats")
+
+
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergences (in bits, term by term) of arrays of shares that broadcast."""
+    m = (p + q) / 2
+    half = lambda a: np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0)
+    return (half(p) + half(q)) / 2
+
+
+_NAMES = sorted(PROFILES)
+_TABLE = np.array([[x for part in PROFILES[name] for x in part] for name in _NAMES])
+_WEIGHT = np.array([WEIGHTS[g] for g, names in GROUPS.items() for _ in names])
+
+
+def _rows(stats: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([np.array(stats[g].tolist(), float).reshape(len(stats), len(names)) for g, names in GROUPS.items()])
+
+
+def _nearest(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest structural profile and its divergence; of equally near ones the first by name."""
+    d = np.stack([(divergence(shares, q) * _WEIGHT).sum(1) for q in _TABLE], 1) if len(shares) else np.zeros((0, len(_TABLE)))
+    at = d.argmin(1)
+    return at, d[np.arange(len(d)), at]
+
+
+@F.pandas_udf(T.StringType())
+def profile(stats: pd.DataFrame) -> pd.Series:
+    """The name of the nearest structural profile, whatever the language; 'blank' of a null, empty or blank text."""
+    names = np.array(_NAMES, object)[_nearest(_rows(stats))[0]]
+    return pd.Series(np.where(stats["n_lines"] == 0, "blank", names))
+
+
+class Languages:
+    """Prose profiles of languages: how its function words spread, and the shares of words and characters of its prose."""
+
+    def __init__(self, names: list[str], words: int):
+        self.names, self.words = names, words
+        self.function = np.zeros((0, words))
+        self.shares = np.zeros((0, len(_WEIGHT)))
+        self.known: list[str] = []
+
+    def learn(self, stats: DataFrame) -> Languages:
+        """Take the profiles from all texts of ``stats`` that read as prose: one pass over the statistics, a row per language and one per function word come back."""
+        prose = stats.where(is_prose(profile(F.col("stats"))) & (F.col("stats.best") >= 0))
+        groups = [(g, i) for g, names in GROUPS.items() for i in range(len(names))]
+        means = prose.groupBy(F.col("stats.best").alias("best")).agg(F.count("*").alias("n"), *(F.avg(F.get(F.col(f"stats.{g}"), F.lit(i))).alias(f"{g}{i}") for g, i in groups)).collect()
+        spread = prose.select(F.col("stats.best").alias("best"), F.explode("stats.function").alias("f")).groupBy("best", "f.word").agg(F.sum("f.n").alias("n")).collect()
+        kept = sorted((r for r in means if r["n"] >= LEAST_TEXTS), key=lambda r: r["best"])
+        self.known = [self.names[r["best"]] for r in kept]
+        self.shares = np.array([[r[f"{g}{i}"] for g, i in groups] for r in kept]).reshape(len(kept), len(groups))
+        row = {r["best"]: i for i, r in enumerate(kept)}
+        self.function = np.zeros((len(kept), self.words))
+        for r in spread:
+            if r["best"] in row:
+                self.function[row[r["best"]], r["word"]] = r["n"]
+        self.function = _shares(self.function)
+        return self
+
+    def nearest(self, function: list[list]) -> np.ndarray:
+        """Of each text the language whose function words spread most alike; -1 of a text without function words."""
+        out = np.full(len(function), -1)
+        for i, f in enumerate(function):
+            if len(f) and len(self.known):
+                at = np.array([x["word"] for x in f])
+                p = np.array([x["n"] for x in f], float)
+                p /= p.sum()
+                q = self.function[:, at]
+                # what the text has none of adds half of the language's share of it
+                out[i] = int((divergence(p[None], q).sum(1) + (1 - q.sum(1)) / 2).argmin())
+        return out
+
+
+def language_profile(languages: Languages) -> Column:
+    """A column function of ``stats``: struct (language, profile), the profile the nearest of the structural ones and of the prose of the text's language, there named prose/<language>."""
+
+    @F.pandas_udf("language string, profile string")
+    def named(stats: pd.DataFrame) -> pd.DataFrame:
+        shares = _rows(stats)
+        at, d = _nearest(shares)
+        names = np.array(_NAMES, object)[at]
+        spoken = languages.nearest(stats["function"].tolist())
+        has = np.flatnonzero(spoken >= 0)
+        if len(has):
+            own = (divergence(shares[has], languages.shares[spoken[has]]) * _WEIGHT).sum(1)
+            near = has[own < d[has]]
+            names[near] = [f"prose/{languages.known[k]}" for k in spoken[near]]
+        spoken_names = [languages.known[k] if k >= 0 else None for k in spoken]
+        return pd.DataFrame({"language": pd.Series(spoken_names, dtype=object), "profile": np.where(stats["n_lines"] == 0, "blank", names)})
+
+    return named
+
+
+def profiled(df: DataFrame, text: str, function_words: dict[str, list[str]]) -> DataFrame:
+    """``df`` with ``stats``, ``language`` and ``profile``: statistics are taken once, written, and read to learn the languages and then to name profiles.
+
+    Columns of these names are replaced.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    spaced = F.regexp_replace(t, f"[{_S}]+", " ")
-    split = F.struct(
-        t.alias("text"),
-        F.filter(F.split(t, _LINE_END), lambda x: stripped(x) != "").alias("raw"),
-        F.filter(F.split(spaced, " "), lambda x: x != "").alias("tokens"),
-        F.filter(F.split(spaced, r"[.!?]+[\"')»”]*(?: |$)"), lambda x: F.length(F.trim(x)) > 0).alias("sentences"),
-    )
-    # one expression, each part bound once: a filter on it is pushed down without multiplying it
-    return df.withColumn("stats", _let(split, lambda s: _let(_counts(s, function_words), lambda c: _shares(c, len(function_words)))))
-
-
-def _number(c: Column) -> Column:
-    return c.cast("bigint")
-
-
-def _counts(s: Column, function_words: dict[str, list[str]]) -> Column:
-    """What is counted in the lines, tokens and sentences of a text."""
-    lines = F.transform(s["raw"], lambda x: F.rtrim(x))
-    by_kind = F.aggregate(
-        lines,
-        F.array(*[_number(F.lit(0))] * 4),
-        lambda acc, x: _let(line_kind(x), lambda k: F.transform(acc, lambda n, i: F.when(i == k, n + F.length(x)).otherwise(n))),
-    )
-    distinct = _total(F.array_distinct(F.transform(lines, lambda x: F.trim(x))), lambda x: _number(F.length(x)))
-    all_ = _total(F.transform(lines, lambda x: F.trim(x)), lambda x: _number(F.length(x)))
-    closed = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?;:][\"')»”]*$")))
-
-    def classed(token: Column) -> Column:
-        """Class, function-word languages and length of a token."""
-        bare = F.btrim(token, F.lit(_SIGNS))
-        ident = token.rlike(r"\p{L}[0-9_:#/=]|\p{Ll}\p{Lu}|[0-9]\p{L}")
-        kind = lambda b, f: F.when(b == "", 4).when(f > 0, 0).when(ident, 2).when(b.rlike(r"\p{L}"), 1).when(b.rlike(r"\p{N}"), 3).otherwise(4)
-        used = lambda b: F.when(b == "", _number(F.lit(0))).otherwise(_languages(F.lower(b), function_words))
-        return _let(bare, lambda b: _let(used(b), lambda f: F.struct(kind(b, f).alias("k"), f.alias("f"), _number(F.length(token)).alias("n"))))
-
-    def enumerated(x: Column) -> Column:
-        clauses = F.filter(F.split(x, r"[,;/>|·•] "), lambda c: F.length(F.trim(c)) > 0)
-        return _let(clauses, lambda c: (F.size(c) >= 5) & (F.size(F.split(F.trim(x), " ")) <= 4.5 * F.size(c)))
-
-    def measured(x: Column) -> Column:
-        return _let(F.size(F.filter(F.split(x, " "), lambda w: w != "")), lambda n: F.struct(F.when(n <= 2, 0).when(enumerated(x), 1).otherwise(2).alias("k"), _number(n).alias("n")))
-
-    # one pass over the tokens: characters by class, words, and words and characters by language
-    languages = range(len(function_words))
-    names = [*(f"k{k}" for k in range(5)), "words", "length", *(f"l{i}" for i in languages), *(f"c{i}" for i in languages)]
-
-    def added(acc: Column, x: Column) -> Column:
-        word = x["k"] < 4
-        spoken = [F.getbit(x["f"], F.lit(i)) == 1 for i in languages]
-        more = [*(F.when(x["k"] == k, x["n"]).otherwise(0) for k in range(5)), F.when(word, 1).otherwise(0), F.when(word, x["n"]).otherwise(0), *(F.when(on, 1).otherwise(0) for on in spoken), *(F.when(on, x["n"]).otherwise(0) for on in spoken)]
-        return F.struct(*(_number(acc[n] + m).alias(n) for n, m in zip(names, more, strict=True)))
-
-    zero = F.struct(*(_number(F.lit(0)).alias(n) for n in names))
-    totals = F.aggregate(s["tokens"], zero, lambda acc, t: _let(classed(t), lambda x: added(acc, x)))
-    count = lambda pattern: F.regexp_count(s["text"], F.lit(pattern))
-    return F.struct(
-        by_kind.alias("kinds"), distinct.alias("distinct"), all_.alias("all"), closed.alias("closed"), F.size(s["raw"]).alias("n_lines"),
-        totals.alias("totals"), F.transform(s["sentences"], measured).alias("sentences"),
-        count(r"\p{L}").alias("letters"), count(r"\p{N}").alias("digits"), count(_STRUCTURAL).alias("structural"), F.length(s["text"]).alias("n_chars"),
-    )
-
-
-def _shares(s: Column, languages: int) -> Column:
-    """The distributions and statistics that the counts give."""
-    repeated = F.when(s["all"] > 0, 1 - s["distinct"] / s["all"]).otherwise(0.0)
-    few = s["n_lines"] < 3  # a line or two, however short, are no list
-    kinds = _share([s["kinds"][0] + F.when(few, s["kinds"][1]).otherwise(0), F.when(few, 0).otherwise(s["kinds"][1]), s["kinds"][2], s["kinds"][3]])
-    of = lambda items, k: _total(F.filter(items, lambda x: x["k"] == k), lambda x: x["n"])
-    t, zero = s["totals"], _number(F.lit(0))
-    best = F.greatest(zero, zero, *(t[f"l{i}"] for i in range(languages)))
-    # function words of other languages than the one most used are plain words here
-    best_chars = F.greatest(zero, zero, *(t[f"c{i}"] for i in range(languages)))
-    n_words = t["words"].cast("int")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return F.struct(
-        F.transform(F.concat(kinds, F.array(F.lit(-1.0))), lambda x: F.when(x < 0, repeated).otherwise(x * (1 - repeated))).alias("lines"),
-        _let(best_chars, lambda b: _share([b, t["k1"] + t["k0"] - b, t["k2"], t["k3"], t["k4"]])).alias("words"),
-        _share([of(s["sentences"], k) for k in range(3)]).alias("sentences"),
-        _share([s["letters"], s["digits"], s["structural"]]).alias("chars"),
-        n_words.alias("n_words"),
-        s["n_chars"].alias("n_chars"),
-        s["n_lines"].alias("n_lines"),
-        ratio(t["length"], n_words).alias("mean_word_length"),
-        ratio(s["structural"], s["n_chars"]).alias("symbol_ratio"),
-        ratio(s["closed"], s["n_lines"]).alias("punctuated_lines"),
-        ratio(best, n_words).alias("common_words"),
-    )
-
-
-def divergences(shares: Column) -> Column:
-    """array<struct<d, name>>: the weighted sum of Jensen-Shannon divergences (in bits) of a text's shares, all groups one after the other, from each profile."""
-    known = [{"name": name, "q": [x for part in parts for x in part]} for name, parts in sorted(PROFILES.items())]
-    table = F.from_json(F.lit(_json(known)), "array<struct<name: string, q: array<double>>>")
-    weight = F.array(*(F.lit(WEIGHTS[g]) for g, names in GROUPS.items() for _ in names))
-
-    def half(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-
-    def term(a: Column, q: Column) -> Column:
-        return _let((a + q) / 2, lambda m: (half(a, m) + half(q, m)) / 2)
-
-    def score(p: Column) -> Column:
-        terms = F.transform(shares, lambda a, i: F.get(weight, i) * term(a, F.get(p["q"], i)))
-        return F.struct(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("d"), p["name"].alias("name"))
-
-    return F.transform(table, score)
-
-
-def profile(stats: Column) -> Column:
-    """The name of the nearest profile; 'blank' of a null, empty or blank text."""
-    return _let(stats, lambda s: F.when(s["n_lines"] == 0, "blank").otherwise(_let(F.concat(*(s[g] for g in GROUPS)), lambda v: F.array_min(divergences(v))["name"])))
+    kept = df.drop("stats", "language", "profile")
+    stats = written(statistics(kept, text, function_words), "stats")
+    words = len({w for ws in function_words.values() for w in ws})
+    named = language_profile(Languages(sorted(function_words), words).learn(stats))
+    return stats.withColumn("named", named(F.col("stats"))).select(*stats.columns, "named.language", "named.profile")
 
 
 def is_prose(name: Column) -> Column:

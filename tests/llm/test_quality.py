@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm.quality import GROUPS, PROFILES, common_words, is_prose, profile, statistics
+from graphloom.llm.quality import GROUPS, PROFILES, common_words, is_prose, profile, profiled, statistics
 
 PROSE = [
     "The resolver was written before the last event of its run. It cannot see a copy of the archive.",
@@ -23,6 +23,7 @@ OTHER = [
     '[\n {\n  "depth": 179\n },\n {\n  "owner": "amber",\n  "budget": null\n }\n]', "MATCH (a:Site)-[:partOf]->(b:Device) RETURN a, b LIMIT 16\nMATCH (a:Concept)-[:locatedIn]->(b:Person) RETURN a, b LIMIT 32",
     "slate slate. kelp. phase! epoch! quota. quartz! garnet. ochre! nectar. Policy. Vessel lagoon. owner.", "Back > Login > Home > Next > Login > Help > Search > Home", "vNhP3d3mTSVnLNuPyQUUbtdZdYRae/M3xVoZ4h/Azq6odYKMKdd+pl/DBWaQD31fZ63T1JgzBzXO3HbE7EeZXPGZ==",
     "if\nand which, when have it from. a, if\nare to\nby it\nbe\nand this of\nthe, for or. are", "@prefix ex: <https://v/t/> .\nex:Device11 a ex:Link ; ex:derivedFrom ex:Pump16 .\nex:Channel17 a ex:Set ; ex:partOf ex:Unit2 .", "one\n" * 50,
+    "gktffwkdswar qqsaajgzaze zd gwshgzjhkzkre ahfedrgzfqdzg zzettjerfwe ltqqfqt zqahzqqhrztkzl sktkthtjhkg tlzzetrt", "harbor " * 60,
 ]
 WORDS = [(lang, w) for lang, ws in {"en": "a an and are as at be by for from has have if in is it its no not of on or so that the to was when which", "de": "das den der die eine es bevor", "it": None}.items() for w in (ws or "").split()] + [(None, "x"), ("en", None), ("en", "the")]
 
@@ -67,3 +68,21 @@ def test_empty_tables(spark, words):
     assert statistics(spark.createDataFrame([], "doc_id bigint, text string"), "text", words).count() == 0
     none = common_words(spark.createDataFrame([], "lang string, word string"))
     assert statistics(spark.createDataFrame([("the end of it",)], "text string"), "text", none).select("stats.common_words").first()[0] == 0
+
+
+def test_prose_profiles_of_languages(spark, words):
+    german = "Das Haus und die Stadt: es war das Ende, bevor der Regen kam, und die Leute sahen den Fluss und die Wege dort."
+    texts = [PROSE[0], german] * 30 + OTHER
+    rows = profiled(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, profile string"), "text", words).select("doc_id", "language", "profile", "stats").collect()
+    for r in rows:
+        if r.doc_id < 60:
+            assert (r.language, r.profile) == (("en", "prose/en"), ("de", "prose/de"))[r.doc_id % 2]
+        else:
+            assert not r.profile.startswith("prose")
+    assert profiled(spark.createDataFrame([], "doc_id bigint, text string"), "text", words).count() == 0
+
+
+def test_long_texts_and_odd_characters(spark, words):
+    texts = ["a" * 5_000_000, "\x1c the \x1d end \ud83d".encode("utf-8", "replace").decode(), "的" * 1000, "the end. " * 200_000, "\u2028", "e\u0301" * 9]
+    got = {r.doc_id: r.stats for r in statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "text", words).collect()}
+    assert [got[i].n_chars for i in range(6)] == [len(t) for t in texts] and got[3].n_words == 400_000 and got[4].n_lines == 0 and got[1].n_words == 2
