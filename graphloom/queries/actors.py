@@ -9,7 +9,6 @@ from graphloom.functions.paths import render, segments, workflow_run
 from graphloom.operators.extract import MockBackend, extract
 from graphloom.operators.journal import deliveries
 from graphloom.queries.tables import table
-from graphloom.sources import rdf, tables_graph, viz
 from graphloom.streaming.projection import Records, event_stream, flat, hierarchical, snapshot_diff
 
 
@@ -69,10 +68,6 @@ QUERIES = {
     "actor_run_keys": run_keys,
     "actor_snapshot_diff": snapshot_diff_nodes,
     "extract_terms_mock": extract_terms_mock,
-    "turtle_lines": lambda spark, sf: rdf.turtle_lines(rdf.to_rdf(tables_graph.read(spark, sf)), {"region": "urn:region/", "nation": "urn:nation/", "local": "urn:graphloom:local#"}),
-    "jsonld_subjects": lambda spark, sf: rdf.jsonld_subjects(rdf.to_rdf(tables_graph.read(spark, sf))),
-    "dot_lines": lambda spark, sf: viz.dot_lines(tables_graph.read(spark, sf)),
-    "mermaid_lines": lambda spark, sf: viz.mermaid_lines(tables_graph.read(spark, sf)),
 }
 
 
@@ -92,12 +87,6 @@ SQL = {
     "actor_successor": f"SELECT DISTINCT {_edge('before', 'successor', 'node')} FROM (SELECT {_ID} AS node, lag({_ID}) OVER (PARTITION BY load_id ORDER BY delivery_id) AS before FROM ({_EVENTS})) WHERE before IS NOT NULL",
     "actor_snapshot_diff": f"SELECT 'Actor' AS type, count(*) AS n FROM ({_PATHS}) UNION ALL SELECT 'ActorEvent', count(DISTINCT (actor, version)) FROM ({_EVENTS}) UNION ALL SELECT 'ActorState', count(*) FROM (SELECT DISTINCT actor, digest FROM states WHERE actor IS NOT NULL)",
 }
-_PLACES = "SELECT sha256('NodeId|urn:nation/' || n_nationkey) AS id, n_name AS name, 'Nation' AS type FROM nation UNION ALL SELECT sha256('NodeId|urn:region/' || r_regionkey), r_name, 'Region' FROM region"
-_WITHIN = "SELECT sha256('NodeId|urn:nation/' || n_nationkey) AS s, sha256('NodeId|urn:region/' || n_regionkey) AS t FROM nation"
 SQL |= {
-    "dot_lines": f"""SELECT 0 AS part, id, '  ' || left('n_' || id, 60) || ' [label="' || name || ' | ' || type || '"];' AS value FROM ({_PLACES})
-UNION ALL SELECT 1, sha256('EdgeId|' || s || '|inRegion|' || t), '  ' || left('n_' || s, 60) || ' -> ' || left('n_' || t, 60) || ' [label="inRegion"];' FROM ({_WITHIN})""",
-    "mermaid_lines": f"""SELECT 0 AS part, id, '  n' || left(id, 20) || '["' || name || '"]' AS value FROM ({_PLACES})
-UNION ALL SELECT 1, sha256('EdgeId|' || s || '|inRegion|' || t), '  n' || left(s, 20) || ' -- "inRegion" --> n' || left(t, 20) FROM ({_WITHIN})""",
     "extract_terms_mock": "SELECT doc_id, CASE WHEN contains(text, 'reasoner') THEN 'reasoner' ELSE 'journal' END AS surface, CASE WHEN contains(text, 'reasoner') THEN NULL ELSE 'store' END AS category FROM documents WHERE contains(text, 'reasoner') OR contains(text, 'journal')",
 }

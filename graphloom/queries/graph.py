@@ -272,10 +272,7 @@ SELECT {_CUSTOMER} AS s, {_id('region', 'n_regionkey')} AS t FROM customer JOIN
 # RDF, names and vectors
 
 QUERIES |= {
-    "to_rdf_nodes": lambda spark, sf: rdf.node_triples(_graph(spark, sf)).select("s", "p", "o_kind", "o", "datatype"),
     "to_rdf_edges": lambda spark, sf: rdf.edge_triples(_graph(spark, sf)).select("s", "p", "o"),
-    "ntriples_lines": lambda spark, sf: rdf.ntriples_lines(rdf.to_rdf(_graph(spark, sf))),
-    "ntriples_round_trip": lambda spark, sf: rdf.parse_ntriples(rdf.ntriples_lines(rdf.to_rdf(_graph(spark, sf)))).select("s", "p", "o_kind", "o", "datatype"),
     "curie_expand": lambda spark, sf: _types(spark, sf).select("name", expand_curie(F.col("name"), STANDARD_PREFIXES | {"kiselabanige": "urn:k#"}).alias("iri")),
     "local_name": lambda spark, sf: _types(spark, sf).select("name", local_name(F.col("iri")).alias("local")),
     "vector_topk": lambda spark, sf: _vectors(spark, sf, 5),
@@ -298,24 +295,11 @@ def _cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LOCAL = "urn:graphloom:local#"
-_NODE_TRIPLES = f"""
-SELECT 'urn:customer/' || c_custkey AS s, '{rdf.TYPE}' AS p, 'iri' AS o_kind, '{_LOCAL}Customer' AS o, CAST(NULL AS VARCHAR) AS datatype FROM customer
-UNION ALL SELECT 'urn:part/' || p_partkey, '{rdf.TYPE}', 'iri', '{_LOCAL}Part', NULL FROM part
-UNION ALL SELECT 'urn:customer/' || c_custkey, '{_LOCAL}name', 'literal', c_name, '{rdf.STRING}' FROM customer WHERE c_name IS NOT NULL
-UNION ALL SELECT 'urn:customer/' || c_custkey, '{_LOCAL}mktsegment', 'literal', c_mktsegment, '{rdf.STRING}' FROM customer WHERE c_mktsegment IS NOT NULL
-UNION ALL SELECT 'urn:customer/' || c_custkey, '{_LOCAL}acctbal', 'literal', CAST(c_acctbal AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#double' FROM customer WHERE c_acctbal IS NOT NULL
-UNION ALL SELECT 'urn:part/' || p_partkey, '{_LOCAL}name', 'literal', p_name, '{rdf.STRING}' FROM part WHERE p_name IS NOT NULL
-UNION ALL SELECT 'urn:part/' || p_partkey, '{_LOCAL}brand', 'literal', p_brand, '{rdf.STRING}' FROM part WHERE p_brand IS NOT NULL
-UNION ALL SELECT 'urn:part/' || p_partkey, '{_LOCAL}type', 'literal', p_type, '{rdf.STRING}' FROM part WHERE p_type IS NOT NULL
-UNION ALL SELECT 'urn:part/' || p_partkey, '{_LOCAL}size', 'literal', CAST(p_size AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer' FROM part WHERE p_size IS NOT NULL"""
 SQL |= {
-    "to_rdf_nodes": _NODE_TRIPLES,
     "to_rdf_edges": f"""SELECT 'urn:nation/' || n_nationkey AS s, '{_LOCAL}inRegion' AS p, 'urn:region/' || n_regionkey AS o FROM nation
 UNION ALL SELECT 'urn:customer/' || c_custkey, '{_LOCAL}inNation', 'urn:nation/' || c_nationkey FROM customer UNION ALL SELECT 'urn:supplier/' || s_suppkey, '{_LOCAL}inNation', 'urn:nation/' || s_nationkey FROM supplier
 UNION ALL SELECT 'urn:order/' || o_orderkey, '{_LOCAL}placedBy', 'urn:customer/' || o_custkey FROM orders
 UNION ALL SELECT DISTINCT 'urn:order/' || l_orderkey, '{_LOCAL}contains', 'urn:part/' || l_partkey FROM lineitem UNION ALL SELECT DISTINCT 'urn:order/' || l_orderkey, '{_LOCAL}suppliedBy', 'urn:supplier/' || l_suppkey FROM lineitem""",
-    "ntriples_lines": f"""SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"^^<' || datatype || '>' END || ' .' AS value FROM ({_NODE_TRIPLES})""",
-    "ntriples_round_trip": _NODE_TRIPLES,
     "curie_expand": "SELECT DISTINCT name, iri_ AS iri FROM (SELECT name, iri AS given, CASE WHEN starts_with(name, 'kiselabanige:') THEN 'urn:k#' || substr(name, 14) END AS iri_ FROM (SELECT DISTINCT name, iri FROM node_types WHERE name IS NOT NULL AND iri IS NOT NULL))",
     "local_name": "SELECT name, regexp_extract(iri, '[^#/:]*$') AS local FROM (SELECT DISTINCT name, iri FROM node_types WHERE name IS NOT NULL AND iri IS NOT NULL)",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS raw FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.queries import actors, graph, processing
+from graphloom.queries import actors, graph, processing, whole
 
-_MODULES = (graph, actors, processing)
+_MODULES = (graph, whole, actors, processing)
 
 
 def queries() -> dict[str, Callable]:
