@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCAL_BASE = "urn:graphloom:local#"
@@ -57,3 +57,10 @@ def datatype_name(iri: Column) -> Column:
     for name, xsd in XSD.items():
         out = out.when(iri == XSD_BASE + xsd, F.lit(name))
     return out.otherwise("string")
+
+
+def expand_curies(df: DataFrame, curie: str, prefixes: DataFrame, to: str = "iri") -> DataFrame:
+    """``df`` with ``curie`` expanded by a table (prefix, base) of any size, one row per prefix; null as ``expand_curie`` gives it."""
+    named = df.withColumn("_prefix", F.when(F.col(curie).contains(":"), F.regexp_extract(curie, "^([^:]*):", 1)))
+    found = named.join(prefixes.select(F.col("prefix").alias("_prefix"), F.col("base").alias("_base")), "_prefix", "left")
+    return found.withColumn(to, F.concat("_base", F.regexp_replace(curie, "^[^:]*:", ""))).drop("_prefix", "_base")

@@ -17,3 +17,8 @@ def stripped(c: Column) -> Column:
 def squeezed(c: Column, also: str = "") -> Column:
     """``c`` without any white space or any character of ``also``."""
     return F.translate(c, WHITE_SPACE + also, "")
+
+
+def base64_text(c: Column) -> Column:
+    """Bytes as base64 in one line, whatever their length."""
+    return F.translate(F.base64(c), "\r\n", "")

@@ -50,7 +50,7 @@ def subclass_transitivity(new: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def equivalent_symmetry(new: DataFrame, known: DataFrame) -> DataFrame:
-    return _swapped(_of(new, "EquivalentClass"), "EquivalentClass")
+    return _of(new, "EquivalentClass").select("kind", F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def equivalent_to_subclass(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def equivalent_to_subclass(new: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def inverse_of_symmetry(new: DataFrame, known: DataFrame) -> DataFrame:
-    return _swapped(_of(new, "InverseOf"), "InverseOf")
+    return _of(new, "InverseOf").select("kind", F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def property_symmetry(new: DataFrame, known: DataFrame, axioms: DataFrame) -> DataFrame:

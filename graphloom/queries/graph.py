@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.iri import expand_curie, local_name
+from graphloom.functions.iri import local_name
 from graphloom.functions.vectors import cosine_similarity, nearest
-from graphloom.model import STANDARD_PREFIXES, Iri, Ontology, axiom_id, build, edge_id, node_id, properties_of, pv_of
+from graphloom.model import Ontology, axiom_id, build, edge_id, node_id, properties_of, pv_of
 from graphloom.operators import reason, store, validate
 from graphloom.plans import cypher, sparql
 from graphloom.plans.compile import match, traverse
@@ -45,7 +45,6 @@ QUERIES = {
     "node_match_integer": lambda spark, sf: match(_graph(spark, sf), N.bind("p").typed("Part").with_property("size", 15)),
     "node_match_or": lambda spark, sf: match(_graph(spark, sf), N.bind("n").or_(N.typed("Nation")).or_(N.typed("Customer").with_property("mktsegment", "MACHINERY"))),
     "node_match_not": lambda spark, sf: match(_graph(spark, sf), customer.not_(N.with_property("mktsegment", "BUILDING")).not_(N.with_property("mktsegment", "MACHINERY"))),
-    "node_match_iri_tag": lambda spark, sf: match(_graph(spark, sf), customer.with_property("mktsegment", Iri("BUILDING"))),
     "hop_outbound": _walk(TraversalPlan(customer).out(E.labeled("inNation"), N.bind("n").typed("Nation"))),
     "hop_inbound": _walk(TraversalPlan(N.bind("n").typed("Nation")).in_(E.labeled("inNation"), N.bind("s").typed("Supplier"))),
     "two_hop_chain": _walk(TraversalPlan(N.bind("o").typed("Order")).out(E.labeled("placedBy"), customer).out(E.labeled("inNation"), N.bind("n"))),
@@ -87,7 +86,6 @@ SQL = {
     "node_match_integer": f"SELECT {_id('part', 'p_partkey')} AS p FROM part WHERE p_size = 15",
     "node_match_or": f"SELECT {_NATION} AS n FROM nation UNION ALL SELECT {_CUSTOMER} FROM customer WHERE c_mktsegment = 'MACHINERY'",
     "node_match_not": f"SELECT {_CUSTOMER} AS c FROM customer WHERE coalesce(c_mktsegment, '') NOT IN ('BUILDING', 'MACHINERY')",
-    "node_match_iri_tag": f"SELECT {_CUSTOMER} AS c FROM customer WHERE false",
     "hop_outbound": f"SELECT {_CUSTOMER} AS c, {_NATION} AS n FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "hop_inbound": f"SELECT {_NATION} AS n, {_id('supplier', 's_suppkey')} AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "two_hop_chain": f"SELECT {_id('order', 'o_orderkey')} AS o, {_CUSTOMER} AS c, {_NATION} AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
@@ -273,7 +271,6 @@ SELECT {_CUSTOMER} AS s, {_id('region', 'n_regionkey')} AS t FROM customer JOIN
 
 QUERIES |= {
     "to_rdf_edges": lambda spark, sf: rdf.edge_triples(_graph(spark, sf)).select("s", "p", "o"),
-    "curie_expand": lambda spark, sf: _types(spark, sf).select("name", expand_curie(F.col("name"), STANDARD_PREFIXES | {"kiselabanige": "urn:k#"}).alias("iri")),
     "local_name": lambda spark, sf: _types(spark, sf).select("name", local_name(F.col("iri")).alias("local")),
     "vector_topk": lambda spark, sf: _vectors(spark, sf, 5),
     "vector_cosine": lambda spark, sf: _cosine(spark, sf),
@@ -300,7 +297,6 @@ SQL |= {
 UNION ALL SELECT 'urn:customer/' || c_custkey, '{_LOCAL}inNation', 'urn:nation/' || c_nationkey FROM customer UNION ALL SELECT 'urn:supplier/' || s_suppkey, '{_LOCAL}inNation', 'urn:nation/' || s_nationkey FROM supplier
 UNION ALL SELECT 'urn:order/' || o_orderkey, '{_LOCAL}placedBy', 'urn:customer/' || o_custkey FROM orders
 UNION ALL SELECT DISTINCT 'urn:order/' || l_orderkey, '{_LOCAL}contains', 'urn:part/' || l_partkey FROM lineitem UNION ALL SELECT DISTINCT 'urn:order/' || l_orderkey, '{_LOCAL}suppliedBy', 'urn:supplier/' || l_suppkey FROM lineitem""",
-    "curie_expand": "SELECT DISTINCT name, iri_ AS iri FROM (SELECT name, iri AS given, CASE WHEN starts_with(name, 'kiselabanige:') THEN 'urn:k#' || substr(name, 14) END AS iri_ FROM (SELECT DISTINCT name, iri FROM node_types WHERE name IS NOT NULL AND iri IS NOT NULL))",
     "local_name": "SELECT name, regexp_extract(iri, '[^#/:]*$') AS local FROM (SELECT DISTINCT name, iri FROM node_types WHERE name IS NOT NULL AND iri IS NOT NULL)",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS raw FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
 SELECT query, id, round(raw, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY raw DESC, id) AS rank FROM s QUALIFY rank <= 5""",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.queries import actors, graph, processing, whole
+from graphloom.queries import actors, graph, processing, schema, whole
 
-_MODULES = (graph, whole, actors, processing)
+_MODULES = (graph, whole, schema, actors, processing)
 
 
 def queries() -> dict[str, Callable]:

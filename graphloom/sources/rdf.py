@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.iri import LOCAL_BASE, RDF_BASE, XSD_BASE, datatype_iri, ensure_iri, local_name
+from graphloom.functions.text import base64_text
 from graphloom.model import STANDARD_PREFIXES, Ontology, empty
 
 TRIPLES = "s_kind string, s string, p string, o_kind string, o string, datatype string, lang string"
@@ -68,7 +69,7 @@ def literal(value: Column) -> tuple[Column, Column, Column]:
         .when(t == "float", value["f"].cast("string"))
         .when(t == "bool", value["b"].cast("string"))
         .when(t == "date_time", F.date_format(value["ts"], "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(t == "bytes", F.base64(value["bin"]))
+        .when(t == "bytes", base64_text(value["bin"]))
     )
     return F.when(t == "iri", "iri").otherwise("literal"), text, F.when(t != "iri", datatype_iri(t))
 
@@ -157,7 +158,8 @@ def ntriples_lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(term("s_kind", F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), o, F.lit(" .")).alias("value"))
 
 
-_NT = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+# possessive, so that a literal of any length is matched without recursion
+_NT = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]+)|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
 _PLAIN = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 

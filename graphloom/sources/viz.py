@@ -63,15 +63,25 @@ def mermaid_text(graph: Ontology) -> str:
     return _document(["graph LR"], mermaid_lines(graph), [])
 
 
-def provenance_dot(activities: DataFrame, derived: DataFrame) -> str:
-    """Activities and derivations as a DOT document."""
+def provenance_dot_lines(activities: DataFrame, derived: DataFrame) -> DataFrame:
+    """(part, id, value): a line per activity and per derivation."""
     nodes = activities.select(F.lit(0).alias("part"), "id", F.concat(F.lit("  "), _dot_id(F.col("id")), F.lit(' [label="'), _dot_text(F.col("label")), F.lit('"];')).alias("value"))
     edge = F.concat(F.lit("  "), _dot_id(F.col("derived")), F.lit(" -> "), _dot_id(F.col("source")), F.lit(' [label="wasDerivedFrom"];'))
-    return _document(["digraph provenance {", "  rankdir=TB;", "  node [shape=ellipse, style=filled, fillcolor=lightgray];"], nodes.unionByName(derived.select(F.lit(1).alias("part"), F.col("derived").alias("id"), edge.alias("value"))), ["}"])
+    return nodes.unionByName(derived.select(F.lit(1).alias("part"), F.col("derived").alias("id"), edge.alias("value")))
 
 
-def provenance_mermaid(activities: DataFrame, derived: DataFrame) -> str:
-    """Activities and derivations as a Mermaid document."""
+def provenance_dot(activities: DataFrame, derived: DataFrame) -> str:
+    """Activities and derivations as a DOT document."""
+    return _document(["digraph provenance {", "  rankdir=TB;", "  node [shape=ellipse, style=filled, fillcolor=lightgray];"], provenance_dot_lines(activities, derived), ["}"])
+
+
+def provenance_mermaid_lines(activities: DataFrame, derived: DataFrame) -> DataFrame:
+    """(part, id, value): a line per activity and per derivation."""
     nodes = activities.select(F.lit(0).alias("part"), "id", F.concat(F.lit("  "), _mermaid_id(F.col("id")), F.lit('(["'), _mermaid_text(F.col("label")), F.lit('"])')).alias("value"))
     edge = F.concat(F.lit("  "), _mermaid_id(F.col("derived")), F.lit(" -- wasDerivedFrom --> "), _mermaid_id(F.col("source")))
-    return _document(["graph TD"], nodes.unionByName(derived.select(F.lit(1).alias("part"), F.col("derived").alias("id"), edge.alias("value"))), [])
+    return nodes.unionByName(derived.select(F.lit(1).alias("part"), F.col("derived").alias("id"), edge.alias("value")))
+
+
+def provenance_mermaid(activities: DataFrame, derived: DataFrame) -> str:
+    """Activities and derivations as a Mermaid document."""
+    return _document(["graph TD"], provenance_mermaid_lines(activities, derived), [])
