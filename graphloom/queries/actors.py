@@ -64,6 +64,7 @@ QUERIES = {
     "actor_supervises_edges": edges_of("supervises", hierarchical),
     "actor_emitted_edges": edges_of("emitted", hierarchical),
     "actor_successor": edges_of("successor", event_stream),
+    "actor_holds_state": edges_of("holdsState", hierarchical),
     "actor_flat": flat_runs,
     "actor_run_keys": run_keys,
     "actor_snapshot_diff": snapshot_diff_nodes,
@@ -72,7 +73,7 @@ QUERIES = {
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
-_PATHS = "SELECT DISTINCT path FROM paths WHERE path IS NOT NULL AND starts_with(path, '/') AND NOT contains(path, '//') AND NOT ends_with(path, '/')"
+_PATHS = "SELECT DISTINCT '/' || array_to_string(s, '/') AS path FROM (SELECT list_filter(coalesce(segments, string_split(path, '/')), lambda x: x IS NOT NULL AND x <> '') AS s FROM paths) WHERE len(s) > 0"
 _EVENTS = f"SELECT trim(actor, {_WS}) AS actor, version, path, trim(kind) AS kind, load_id, delivery_id FROM journal WHERE trim(actor, {_WS}) <> '' AND version IS NOT NULL"
 _ID = "sha256('NodeId|event:' || version || ':' || actor || ':' || kind)"
 # segments as the projections read them: one slash at the start goes
@@ -87,6 +88,19 @@ SQL = {
     "actor_successor": f"SELECT DISTINCT {_edge('before', 'successor', 'node')} FROM (SELECT {_ID} AS node, lag({_ID}) OVER (PARTITION BY load_id ORDER BY delivery_id) AS before FROM ({_EVENTS})) WHERE before IS NOT NULL",
     "actor_snapshot_diff": f"SELECT 'Actor' AS type, count(*) AS n FROM ({_PATHS}) UNION ALL SELECT 'ActorEvent', count(DISTINCT (actor, version)) FROM ({_EVENTS}) UNION ALL SELECT 'ActorState', count(*) FROM (SELECT DISTINCT actor, digest FROM states WHERE actor IS NOT NULL)",
 }
+# workflow and run of a path's segments, one after the other: a segment that is taken as a value is no keyword
+_FOLD = """list_reduce(list_transform(s, lambda x: {'w': CAST(NULL AS VARCHAR), 'r': CAST(NULL AS VARCHAR), 'k': '', 'x': x}), lambda a, b: CASE WHEN a.k <> ''
+  THEN {'w': CASE WHEN a.k = 'workflow' THEN b.x ELSE a.w END, 'r': CASE WHEN a.k = 'run' THEN b.x ELSE a.r END, 'k': '', 'x': ''}
+  ELSE {'w': CASE WHEN b.x = 'workflow' THEN NULL ELSE a.w END, 'r': CASE WHEN b.x = 'run' THEN NULL ELSE a.r END, 'k': CASE WHEN b.x IN ('workflow', 'run') THEN b.x ELSE '' END, 'x': ''} END,
+  {'w': CAST(NULL AS VARCHAR), 'r': CAST(NULL AS VARCHAR), 'k': '', 'x': ''})"""
+_KEYED = lambda given: f"SELECT *, k.w AS workflow, CASE WHEN k.w IS NOT NULL THEN coalesce(k.r, '<no-run>') END AS run FROM (SELECT *, {_FOLD} AS k FROM (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS s FROM ({given})))"
+_EVERY_PATH = "SELECT '/' || array_to_string(s, '/') AS path FROM (SELECT list_filter(coalesce(segments, string_split(path, '/')), lambda x: x IS NOT NULL AND x <> '') AS s FROM paths) WHERE len(s) > 0"
 SQL |= {
+    "actor_run_keys": f"SELECT path, workflow, run FROM ({_KEYED(_PATHS)})",
+    "actor_flat": f"""WITH r AS (
+SELECT workflow, run, 1 AS n, 0 AS e, 0 AS st FROM ({_KEYED(_EVERY_PATH)}) WHERE workflow IS NOT NULL UNION ALL SELECT workflow, run, 0, 1, 0 FROM ({_KEYED(f"SELECT path FROM ({_EVENTS}) WHERE path IS NOT NULL")}) WHERE workflow IS NOT NULL
+UNION ALL SELECT '<unrouted>', actor, 0, 0, 1 FROM states WHERE actor IS NOT NULL)
+SELECT sha256('NodeId|flat:' || workflow || ':' || run) AS id, workflow, run, CAST(sum(n) AS BIGINT) AS path_count, CAST(sum(e) AS BIGINT) AS events, CAST(sum(st) AS BIGINT) AS states FROM r GROUP BY workflow, run""",
+    "actor_holds_state": f"SELECT DISTINCT {_edge("sha256('NodeId|' || p)", 'holdsState', "sha256('NodeId|state:' || actor)")} FROM (SELECT segment AS actor, min(path) AS p FROM ({_PREFIXES}) GROUP BY segment) JOIN (SELECT DISTINCT actor FROM states WHERE actor IS NOT NULL) USING (actor)",
     "extract_terms_mock": "SELECT doc_id, CASE WHEN contains(text, 'reasoner') THEN 'reasoner' ELSE 'journal' END AS surface, CASE WHEN contains(text, 'reasoner') THEN NULL ELSE 'store' END AS category FROM documents WHERE contains(text, 'reasoner') OR contains(text, 'journal')",
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.queries import actors, graph, processing, schema, whole
+from graphloom.queries import actors, graph, processing, schema, stores, whole
 
-_MODULES = (graph, whole, schema, actors, processing)
+_MODULES = (graph, whole, schema, actors, stores, processing)
 
 
 def queries() -> dict[str, Callable]:

@@ -24,7 +24,9 @@ from graphloom.operators.store import Delta, checked_against_schema, reconcile_n
 from graphloom.session import cut
 from graphloom.sources.delta_store import DeltaStore
 from graphloom.sources.manifest import CommitConflict
+from graphloom.streaming.ingest import Ingest
 from graphloom.streaming.projection import PROJECTIONS, Minting, Records
+from graphloom.streaming.sources import ActorSource
 
 EVENTS = "version bigint, token string, actor string, path string, kind string, at timestamp, payload string, batch string, pos bigint"
 PATHS = "path string, attributes map<string,string>"
@@ -137,6 +139,21 @@ class Projector:
 
     # ingest modes
 
+    def run(self, source: ActorSource | None, *ingests: Ingest) -> Report:
+        """Commit the batches of all ingests, one ingest after the other; returns the report.
+
+        Several ingests may see the same records: a batch counts once under its
+        name, and nodes and edges by their ids.
+        """
+        if source is None:
+            raise ProjectorError("no source")
+        if not ingests:
+            raise ProjectorError("no ingest")
+        for ingest in ingests:
+            for batch in ingest.batches(source):
+                self.commit(batch.records, f"{source.label}:{batch.name}", batch.cursor)
+        return self.report
+
     def replay(self, records: Records, since: int = -1, name: str = "replay") -> bool:
         """One batch: all paths, events after ``since``, states of the actors among them."""
         events = records.events.where(F.col("version") > since)
@@ -177,21 +194,6 @@ def event_files(spark: SparkSession, folder: str, per_batch: int | None = None)
     return reader.parquet(folder)
 
 
-class PushHook:
-    """A checkpointer that tells a listener of each save, so that ingestion follows writing."""
-
-    def __init__(self, inner: object, listener: Callable[[int], object]):
-        self.inner, self.listener = inner, listener
-
-    def save(self, graph: Ontology) -> int:
-        version = self.inner.save(graph)
-        self.listener(version)
-        return version
-
-    def load(self) -> Ontology | None:
-        return self.inner.load()
-
-
 def cursor_of(activity_attributes: dict[str, str]) -> int | None:
     """The cursor that an activity recorded."""
     said = activity_attributes.get("cursor_version")
