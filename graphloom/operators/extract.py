@@ -6,18 +6,24 @@ answers are JSON and are read by Spark.  No model comes with this package.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from collections import OrderedDict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.model import axiom_id, edge_id, node_id, properties_of, pv_of, random_id, record_id
+from graphloom.model import Ontology, axiom_id, edge_id, node_id, properties_of, pv_of, random_id, record_id
+from graphloom.operators import store
+from graphloom.operators.provenance import Activity
 from graphloom.operators.store import Delta
+from graphloom.session import written
 
 # fixed values: what each stage asks for, and the form of an answer's rows
 STAGES = {
@@ -36,13 +42,28 @@ class BackendError(RuntimeError):
 
 
 class Backend(Protocol):
-    """A language model."""
+    """A language model.  One that answers many prompts at once may also have ``complete_batch``, a list of answers to a list of prompts."""
 
     label: str
 
     def complete(self, prompt: str) -> str: ...
 
 
+def complete_batch(backend: Backend, prompts: list[str]) -> list[str]:
+    """Answers to prompts, at once where the backend can."""
+    many = getattr(backend, "complete_batch", None)
+    answers = many(prompts) if many else [backend.complete(p) for p in prompts]
+    if len(answers) != len(prompts):
+        raise BackendError(f"{len(answers)} answers to {len(prompts)} prompts")
+    return answers
+
+
+def stream_complete(backend: Backend, prompt: str) -> Iterator[tuple[str, bool]]:
+    """Pieces of an answer with whether they are the last: those of the backend's ``stream_complete``, else the whole answer as one."""
+    pieces = getattr(backend, "stream_complete", None)
+    yield from pieces(prompt) if pieces else [(backend.complete(prompt), True)]
+
+
 class MockBackend:
     """Scripted answers in turn, or by what the prompt contains; remembers the prompts."""
 
@@ -62,18 +83,54 @@ class MockBackend:
 
 
 class CachedBackend:
-    """A backend that is asked once per prompt; ``most`` prompts are kept, the first asked going first, 0 for all."""
+    """A backend that is asked once per prompt, as its policy says.
 
-    def __init__(self, inner: Backend, most: int = 0):
-        self.inner, self.most, self.label = inner, most, f"cached:{inner.label}"
+    ``none`` asks every time, ``content`` keeps every answer by the hash of its
+    prompt, ``lru`` keeps ``most``, the one unused for longest going first.
+    With ``folder``, one that all executors share, answers are also kept as
+    files there, so they hold for all workers and later runs.
+    """
+
+    def __init__(self, inner: Backend, policy: str = "content", most: int = 0, folder: str | None = None):
+        if policy not in ("none", "content", "lru"):
+            raise ValueError(f"no such policy: {policy}")
+        self.inner, self.policy, self.most, self.folder, self.label = inner, policy, most, folder, f"cached:{inner.label}"
         self._held: OrderedDict[str, str] = OrderedDict()
 
+    def _file(self, key: str) -> Path | None:
+        return Path(self.folder.removeprefix("file://")) / key[:2] / key if self.folder else None
+
     def complete(self, prompt: str) -> str:
-        if prompt not in self._held:
-            self._held[prompt] = self.inner.complete(prompt)
-            if self.most and len(self._held) > self.most:
+        return self.complete_batch([prompt])[0]
+
+    def complete_batch(self, prompts: list[str]) -> list[str]:
+        if self.policy == "none":
+            return complete_batch(self.inner, prompts)
+        keys = [hashlib.sha256(p.encode("utf-8", "surrogatepass")).hexdigest() for p in prompts]
+        found: dict[str, str] = {}
+        missing: dict[str, str] = {}
+        for key, prompt in zip(keys, prompts, strict=True):
+            file = self._file(key)
+            if key in self._held:
+                self._held.move_to_end(key)
+                found[key] = self._held[key]
+            elif file is not None and file.exists():
+                found[key] = file.read_text("utf-8")
+            else:
+                missing[key] = prompt
+        for key, answer in zip(missing, complete_batch(self.inner, list(missing.values())) if missing else (), strict=True):
+            found[key] = answer
+            if (file := self._file(key)) is not None:
+                file.parent.mkdir(parents=True, exist_ok=True)
+                part = file.with_name(f".{key}.{uuid.uuid4().hex}")
+                part.write_text(answer, "utf-8")
+                part.replace(file)
+        for key in keys:
+            self._held[key] = found[key]
+            self._held.move_to_end(key)
+            if self.policy == "lru" and self.most and len(self._held) > self.most:
                 self._held.popitem(last=False)
-        return self._held[prompt]
+        return [found[key] for key in keys]
 
 
 def strip_fence(text: Column) -> Column:
@@ -88,22 +145,35 @@ def ask(df: DataFrame, prompt: Column, backend: Backend, answer: str = "answer")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_prompt": b["_prompt"], "_answer": [backend.complete(p) for p in b["_prompt"]]})
+            yield pd.DataFrame({"_prompt": b["_prompt"], "_answer": complete_batch(backend, b["_prompt"].tolist())})
 
     answers = distinct.mapInPandas(rows, "_prompt string, _answer string").withColumnRenamed("_answer", answer)
     return prompted.join(answers, "_prompt", "left").drop("_prompt")
 
 
-def extract(df: DataFrame, text: str, stage: str, backend: Backend, keys: list[str]) -> DataFrame:
-    """(keys, the columns of the stage): the rows of the model's answers to each text; an answer that cannot be read gives none."""
+def extract(df: DataFrame, text: str, stage: str, backend: Backend, keys: list[str], known: str | None = None) -> DataFrame:
+    """(keys, the columns of the stage): the rows of the model's answers to each text; an answer that cannot be read gives none.
+
+    ``known`` names a column of what is known already (the entities of a text,
+    say), which is shown to the model as JSON after the text.
+    """
     lead, form = STAGES[stage]
-    answered = ask(df.select(*keys, text), F.concat(F.lit(lead), F.col(text)), backend)
+    shown = F.concat(F.lit("\nKnown: "), F.coalesce(F.to_json(F.col(known)), F.lit("[]"))) if known else F.lit("")
+    answered = ask(df.select(*keys, text, *([known] if known else [])), F.concat(F.lit(lead), F.col(text), shown), backend)
     single = stage == "records"
-    parsed = F.from_json(strip_fence(F.col("answer")), f"struct<{form}>" if single else f"array<struct<{form}>>")
+    answer = strip_fence(F.col("answer"))
+    parsed = F.when(answer.startswith("{"), F.from_json(answer, f"struct<{form}>")) if single else F.from_json(answer, f"array<struct<{form}>>")
     rows = answered.select(*keys, (F.array(parsed) if single else parsed).alias("rows"))
     return rows.select(*keys, F.explode("rows").alias("r")).where("r is not null").select(*keys, "r.*")
 
 
+def extracted(df: DataFrame, text: str, stage: str, backend: Backend, keys: list[str], known: str | None = None, agent: str | None = None) -> tuple[DataFrame, Activity]:
+    """The rows of ``extract``, asked for once and written, and the finished activity that tells by which model and how many."""
+    activity = Activity(f"{stage}-extraction", agent=agent).with_attribute("backend", backend.label)
+    rows = written(extract(df, text, stage, backend, keys, known), "extracted")
+    return rows, activity.with_attribute("rows", rows.count()).finish()
+
+
 def entity_nodes(entities: DataFrame, iri_required: bool = False) -> DataFrame:
     """Nodes of entities (surface, iri, type_name), one per iri or, without one, per surface and type; with ``iri_required`` those without are left out."""
     rows = entities.where("iri is not null" if iri_required else "surface is not null").groupBy("iri", "type_name", F.when(F.col("iri").isNull(), F.col("surface")).alias("key")).agg(F.min("surface").alias("surface"))
@@ -161,12 +231,26 @@ def records_table(records: DataFrame) -> DataFrame:
 class Session:
     """An agent's turns with tools until a stop: a tool named by the answer is called, and its result asked about next.
 
-    An answer {"tool": name, "args": {...}} calls a tool, anything else ends the
-    session, as does the number of turns.
+    An answer {"tool": name, "args": {...}} calls a tool.  ``stop`` says when it
+    ends: ``no_tool`` with the first answer that calls none, ``json:key`` with
+    the first answer that is JSON and has the key (in its first object, if it is
+    a list), ``turns`` after ``max_turns`` whatever the answers are.  No session
+    is longer than ``max_turns``.
     """
 
-    def __init__(self, backend: Backend, tools: dict[str, object], max_turns: int = 8):
-        self.backend, self.tools, self.max_turns = backend, tools, max_turns
+    def __init__(self, backend: Backend, tools: dict[str, Callable[..., object]], max_turns: int = 8, stop: str = "no_tool"):
+        if stop not in ("no_tool", "turns") and not stop.startswith("json:"):
+            raise ValueError(f"no such stop: {stop}")
+        self.backend, self.tools, self.max_turns, self.stop = backend, tools, max_turns, stop
+        self.calls: list[tuple[str, dict]] = []
+
+    def _ends(self, answer: str, parsed: object, called: bool) -> bool:
+        if self.stop == "turns":
+            return False
+        if self.stop == "no_tool":
+            return not called
+        first = parsed[0] if isinstance(parsed, list) and parsed else parsed
+        return isinstance(first, dict) and self.stop.removeprefix("json:") in first
 
     def run(self, prompt: str) -> tuple[str, list[tuple[str, str]]]:
         """(final answer, transcript)."""
@@ -175,11 +259,38 @@ class Session:
             answer = self.backend.complete(prompt)
             transcript.append((prompt, answer))
             try:
-                call = json.loads(re.sub(r"^```\w*\s*|\s*```$", "", answer.strip()))
+                parsed = json.loads(re.sub(r"^```\w*\s*|\s*```$", "", answer.strip()))
             except ValueError:
-                return answer, transcript
-            if not (isinstance(call, dict) and call.get("tool") in self.tools):
-                return answer, transcript
-            result = self.tools[call["tool"]](**call.get("args", {}))
-            prompt = f"{prompt}\n{answer}\nresult: {json.dumps(result, default=str)}"
+                parsed = None
+            called = isinstance(parsed, dict) and parsed.get("tool") in self.tools
+            if self._ends(answer, parsed, called):
+                break
+            prompt = f"{prompt}\n{answer}"
+            if called:
+                args = parsed.get("args", {})
+                self.calls.append((parsed["tool"], args))
+                prompt += f"\nresult: {json.dumps(self.tools[parsed['tool']](**args), default=str)}"
         return transcript[-1][1] if transcript else "", transcript
+
+
+def induce(stage: str, subjects: list[str], session: Session, spark: SparkSession) -> tuple[DataFrame, Activity]:
+    """Subclasses or axioms that an agent proposes after looking around with its tools, and the activity with its turns and calls; an answer that cannot be read proposes nothing."""
+    lead, form = STAGES[stage]
+    activity = Activity(f"{stage}-induction").with_attribute("backend", session.backend.label)
+    answer, transcript = session.run(lead + json.dumps(subjects))
+    rows = spark.createDataFrame([(answer,)], "answer string").select(F.explode(F.from_json(strip_fence(F.col("answer")), f"array<struct<{form}>>")).alias("r")).where("r is not null").select("r.*")
+    return proposed_axioms(rows), activity.with_attribute("turns", len(transcript)).with_attribute("tool_calls", len(session.calls)).finish()
+
+
+def store_tools(graph: Ontology) -> dict[str, Callable[..., object]]:
+    """The questions an agent may ask of a graph's schema and instances, by name; answers are lists of texts, numbers and truth values."""
+    names = lambda df: [r[0] for r in df.select("name").collect()]  # noqa: E731 - of the schema, or of one type
+    return {
+        "class_exists": lambda name: bool(store.class_exists(graph, name).first()[0]),
+        "list_classes": lambda: names(store.list_classes(graph)),
+        "list_edge_types": lambda: names(store.list_edge_types(graph)),
+        "count_instances": lambda name: int(store.count_instances(graph, name).first()[0]),
+        "subclasses_of": lambda name: names(store.subclasses_of(graph, name)),
+        "supertypes_of": lambda name: names(store.supertypes_of(graph, name)),
+        "properties_of_type": lambda name: names(store.properties_of_type(graph, name)),
+    }

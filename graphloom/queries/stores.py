@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import empty
 from graphloom.operators import store, validate
-from graphloom.operators.extract import CachedBackend, MockBackend, Session, entity_nodes, extract, proposed_axioms, record_delta
+from graphloom.operators.extract import CachedBackend, MockBackend, Session, entity_nodes, extract, proposed_axioms, record_delta, store_tools
 from graphloom.operators.provenance import Activity, ProvenanceLog, commit_with_provenance
 from graphloom.operators.store import Delta
 from graphloom.queries.actors import _EVENTS, _ID, _PATHS, _PREFIXES, _p, records
@@ -267,8 +267,7 @@ def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
 def _agent(spark: SparkSession, sf: str) -> DataFrame:
     """An agent that counts instances by a tool and then ends."""
     graph = tables_graph.read(spark, sf)
-    count = lambda name: store.count_instances(graph, name).first()[0]
-    session = Session(MockBackend(['{"tool": "count_instances", "args": {"name": "Nation"}}', "done"]), {"count_instances": count})
+    session = Session(MockBackend(['{"tool": "count_instances", "args": {"name": "Nation"}}', "done"]), store_tools(graph))
     answer, transcript = session.run("how many nations?")
     return spark.createDataFrame([(answer, len(transcript), transcript[1][0].rpartition("result: ")[2])], "answer string, turns bigint, result string")
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from graphloom.model import EDGES, NODES, Iri, Json, build, empty
-from graphloom.operators.extract import CachedBackend, MockBackend, Session, entity_nodes, extract, json_value, proposed_axioms, record_delta, relation_edges
+from graphloom.operators.extract import CachedBackend, MockBackend, Session, entity_nodes, extract, extracted, induce, json_value, proposed_axioms, record_delta, relation_edges, store_tools, stream_complete
 from graphloom.operators.provenance import Activity, ProvenanceLog, commit_with_provenance
 from graphloom.operators.store import Delta
 from graphloom.session import scratch, ship
@@ -184,7 +184,49 @@ def test_extraction(spark):
     rec = spark.createDataFrame([("urn:r", "T", {"n": "5"}, [["to", "urn:s"]], None)], "iri string, type_name string, properties map<string,string>, outbound array<array<string>>, source string")
     d = record_delta(rec)
     assert d.nodes.first().properties["n"].i == 5 and d.edges.count() == 1
-    cached = CachedBackend(MockBackend(["1", "2", "3"]), most=1)
+    cached = CachedBackend(MockBackend(["1", "2", "3"]), "lru", most=1)
     assert [cached.complete(p) for p in ("a", "a", "b", "a")] == ["1", "1", "2", "3"]
     agent = Session(MockBackend(['{"tool": "add", "args": {"a": 1, "b": 2}}', "done"]), {"add": lambda a, b: a + b})
     assert agent.run("go")[0] == "done" and len(agent.run.__self__.backend.prompts) == 2
+
+
+def test_activities_caches_and_sessions(spark, tmp_path):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "about Acme", ["Acme", "Bob"]), (2, "about Acme", None)], "doc_id int, text string, who array<string>")
+    backend = MockBackend({'["Acme","Bob"]': '[{"source": "Bob", "label": "worksFor", "target": "Acme", "score": 1}]', "[]": "[]"})
+    rows, activity = extracted(docs, "text", "relations", backend, ["doc_id"], known="who", agent="me")
+    assert [(r.doc_id, r.label) for r in rows.collect()] == [(1, "worksFor")]
+    assert activity.ended_at and activity.agent == "me" and dict(activity.attributes) == {"backend": '"mock"', "rows": "1"}
+
+    class Many:
+        label = "many"
+
+        def __init__(self):
+            self.asked = []
+
+        def complete(self, prompt):
+            raise AssertionError
+
+        def complete_batch(self, prompts):
+            self.asked.append(list(prompts))
+            return [p.upper() for p in prompts]
+
+    inner = Many()
+    cached = CachedBackend(inner, "content", folder=f"{tmp_path}/answers")
+    assert cached.complete_batch(["a", "b", "a"]) == ["A", "B", "A"] and cached.complete("a") == "A" and inner.asked == [["a", "b"]]
+    assert CachedBackend(inner, folder=f"{tmp_path}/answers").complete("b") == "B" and len(inner.asked) == 1
+    plain = CachedBackend(inner, "none")
+    assert plain.complete("a") == plain.complete("a") == "A" and len(inner.asked) == 3
+    assert list(stream_complete(MockBackend(["x"]), "p")) == [("x", True)]
+    with pytest.raises(ValueError, match="policy"):
+        CachedBackend(inner, "some")
+    g = sample(spark)
+    tools = store_tools(g)
+    assert tools["class_exists"]("T") and tools["list_classes"]() == ["T"] and tools["count_instances"]("T") == 1 and tools["supertypes_of"]("T") == ["T", "Base"] and tools["properties_of_type"]("T") == ["f", "s"] and tools["list_edge_types"]() == ["to"] and tools["subclasses_of"]("Base") == ["T"]
+    script = ['{"tool": "class_exists", "args": {"name": "T"}}', '[{"sub": "T", "sup": "Base", "score": 0.9}]', "more"]
+    axioms, activity = induce("subclasses", ["T"], Session(MockBackend(script), tools, stop="json:sub"), spark)
+    assert [(r.kind, r.a, r.b) for r in axioms.collect()] == [("SubClassOf", "T", "Base")] and dict(activity.attributes)["tool_calls"] == "1"
+    axioms, _ = induce("axioms", ["to"], Session(MockBackend(['[{"kind": "Symmetric", "a": "to"}]']), tools), spark)
+    assert [(r.kind, r.a) for r in axioms.collect()] == [("Symmetric", "to")]
+    session = Session(MockBackend(["a", "b", "c"]), tools, max_turns=2, stop="turns")
+    assert session.run("go")[0] == "b" and induce("axioms", [], Session(MockBackend(["no json"]), {}), spark)[0].count() == 0
