@@ -5,9 +5,10 @@ groups too large for one task being cut along a finer one and at last by hash.
 Inside a block leaves are peeled from below; the reverse of that order then
 hands roots, depths and ancestors down, and what could not be peeled contains
 the loops.  A parent in another block is an exit.  Only nodes that some exit
-leads to take part in what follows: the closure over exits, by doubling, so
-that chains through many blocks take a few rounds.  Where every group fits its
-block there are no exits and it all is one shuffle.
+leads to take part in what follows: chains of them are passed by pointer
+jumping, a row a gate, and only where gates have several exits, by doubling
+over those.  Where every group fits its block there are no exits and it all is
+one shuffle.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def lineage(links: DataFrame, coarse: Column, fine: Column | None = None, max_bl
     nothing else of loops.  The rows are as many as the depths of all nodes
     together, so blocks are smaller here.
     """
-    found = _closed(blocked(links, coarse, fine if fine is not None else F.lit(""), max_block), _block_lineage)
+    found = _closed(blocked(links, coarse, fine if fine is not None else F.lit(""), max_block), _block_lineage, every=True)
     found = found.where(F.col("kind") == ROOT).groupBy("tree", "node", "target").agg(F.min("steps").alias("steps"))
     return found.select("tree", "node", F.col("target").alias("ancestor"), "steps")
 
@@ -202,35 +203,73 @@ def full_paths(links: DataFrame, coarse: Column, fine: Column | None = None, max
     return lines.groupBy("tree", "node").agg(order["ancestor"].alias("path"))
 
 
-def _closed(nodes: DataFrame, block: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """What the blocks find, carried on over the exits between them."""
+def _jumped(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gates that lead on to one other gate: the gate beyond all such that each comes to, with the steps there; and those that come to none, for a loop lies above them.
+
+    Pointer jumping: one row per gate whatever the length of the chains; every
+    round doubles how far it points, so a chain of n gates takes log2 n rounds.
+    """
+    at = single
+    for _ in range(single.count().bit_length() + 1):
+        up = at.select("tree", F.col("node").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
+        ahead = cut(at.join(up, ["tree", "target"], "left"))
+        at = ahead.select("tree", "node", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        if ahead.where("next is not null").isEmpty():
+            break
+    held = at.join(single.select("tree", F.col("node").alias("target")), ["tree", "target"], "left_semi").select("tree", "node")
+    return cut(at.join(held, ["tree", "node"], "left_anti")), cut(held)
+
+
+def _closed(nodes: DataFrame, block: Callable[[pd.DataFrame], pd.DataFrame], every: bool = False) -> DataFrame:
+    """What the blocks find, carried on over the exits between them.
+
+    Gates (nodes that an exit leads to) that only lead on to one other gate are
+    passed by pointer jumping.  Those with several exits, or with a root in
+    their block as well, take part in a closure by doubling; of nodes with one
+    parent there are none.  Where all gates on the way count (``every``)
+    nothing can be passed.
+    """
     schema = "tree string, node string, target string, kind int, steps bigint"
     got = cut(nodes.groupBy("bucket").applyInPandas(block, schema))
     exits = got.where(F.col("kind") == EXIT)
     done = got.where(F.col("kind") != EXIT)
-    if not exits.isEmpty():
-        gates = exits.select("tree", F.col("target").alias("node")).distinct()
-        step = cut(exits.join(gates, ["tree", "node"], "left_semi"))
-        far, seen = step, None
-        while True:
-            left = far.select("tree", "node", F.col("target").alias("mid"), F.col("steps").alias("a"))
-            right = far.select("tree", F.col("node").alias("mid"), "target", "kind", F.col("steps").alias("b"))
-            next_ = left.join(right, ["tree", "mid"]).select("tree", "node", "target", "kind", (F.col("a") + F.col("b")).alias("steps"))
-            best = cut(far.unionByName(next_).groupBy("tree", "node", "target", "kind").agg(F.min("steps").alias("steps")))
-            now = tuple(best.agg(F.count("*"), F.sum("steps")).first())
-            far = best
-            if now == seen:  # steps only get fewer and pairs only more
-                break
-            seen = now
-        looped = far.where("node = target").select("tree", "node").distinct()
-        ends = done.join(gates, ["tree", "node"], "left_semi").unionByName(looped.select("tree", "node", F.lit(CYCLE).alias("target"), F.lit(LOOP).alias("kind"), F.lit(-1).cast("bigint").alias("steps")))
-        via = ends.select("tree", F.col("node").alias("mid"), "target", "kind", F.col("steps").alias("b"))
-        reached = far.select("tree", "node", F.col("target").alias("mid"), F.col("steps").alias("a")).join(via, ["tree", "mid"]).select("tree", "node", "target", "kind", F.when(F.col("kind") == LOOP, -1).otherwise(F.col("a") + F.col("b")).cast("bigint").alias("steps"))
-        ends = ends.unionByName(reached).groupBy("tree", "node", "target", "kind").agg(F.min("steps").alias("steps"))
+    if exits.isEmpty():
+        return done
+    gates = cut(exits.select("tree", F.col("target").alias("node")).distinct())
+    step = cut(exits.join(gates, ["tree", "node"], "left_semi").select("tree", "node", "target", "steps"))
+    own = cut(done.join(gates, ["tree", "node"], "left_semi"))
+    loop = lambda rows: rows.select("tree", "node", F.lit(CYCLE).alias("target"), F.lit(LOOP).alias("kind"), F.lit(-1).cast("bigint").alias("steps"))
+    total = F.when(F.col("kind") == LOOP, -1).otherwise(F.col("a") + F.col("b")).cast("bigint").alias("steps")
+
+    def carried(ways: DataFrame, ends: DataFrame) -> DataFrame:
+        """What the targets of some ways come to, for their nodes."""
         via = ends.select("tree", F.col("node").alias("mid"), "target", "kind", F.col("steps").alias("b"))
-        more = exits.select("tree", "node", F.col("target").alias("mid"), F.col("steps").alias("a")).join(via, ["tree", "mid"]).select("tree", "node", "target", "kind", F.when(F.col("kind") == LOOP, -1).otherwise(F.col("a") + F.col("b")).cast("bigint").alias("steps"))
-        done = done.unionByName(ends).unionByName(more).groupBy("tree", "node", "target", "kind").agg(F.min("steps").alias("steps"))
-    return done
+        return ways.select("tree", "node", F.col("target").alias("mid"), F.col("steps").alias("a")).join(via, ["tree", "mid"]).select("tree", "node", "target", "kind", total)
+
+    least = lambda rows: rows.groupBy("tree", "node", "target", "kind").agg(F.min("steps").alias("steps"))
+    passed, far = step.where("false"), step
+    if not every:
+        degree = step.groupBy("tree", "node").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"), F.min("steps").alias("steps"))
+        single = cut(degree.where("n = 1").join(own.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", "target", "steps"))
+        passed, held = _jumped(single)
+        own = cut(own.unionByName(loop(held)))
+        forks = step.join(single, ["tree", "node"], "left_anti")
+        to = passed.select("tree", F.col("node").alias("target"), F.col("target").alias("end"), F.col("steps").alias("more"))
+        forks = forks.join(to, ["tree", "target"], "left").select("tree", "node", F.coalesce("end", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        far = forks.groupBy("tree", "node", "target").agg(F.min("steps").alias("steps"))
+    far, seen = cut(far), None
+    while not far.isEmpty():
+        right = far.select("tree", F.col("node").alias("mid"), "target", F.col("steps").alias("b"))
+        next_ = far.select("tree", "node", F.col("target").alias("mid"), F.col("steps").alias("a")).join(right, ["tree", "mid"]).select("tree", "node", "target", (F.col("a") + F.col("b")).alias("steps"))
+        far = cut(far.unionByName(next_).groupBy("tree", "node", "target").agg(F.min("steps").alias("steps")))
+        now = tuple(far.agg(F.count("*"), F.sum("steps")).first())
+        if now == seen:  # steps only get fewer and pairs only more
+            break
+        seen = now
+    ends = own.unionByName(loop(far.where("node = target").select("tree", "node").distinct()))
+    ends = least(ends.unionByName(carried(far, ends)))
+    ends = cut(least(ends.unionByName(carried(passed, ends))))
+    return least(done.unionByName(ends).unionByName(carried(exits, ends)))
 
 
 def path_links(paths: DataFrame) -> DataFrame:

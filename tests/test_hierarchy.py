@@ -35,10 +35,17 @@ def test_random_graphs(spark, seed, max_block):
 
 
 def test_a_long_chain_over_many_blocks(spark):
-    n = 300
-    df = spark.createDataFrame([("t", str(i), str(i - 1) if i else None, "c", "") for i in range(n)], LINKS)
-    got = {tuple(r) for r in hierarchy(df, F.col("coarse"), F.col("fine"), 20).collect()}
-    assert got == {("t", str(i), "0", i) for i in range(n)}
+    n = 20_000
+    df = spark.range(n).selectExpr("'t' as tree", "cast(id as string) as node", "if(id > 0, cast(id - 1 as string), null) as parent", "'c' as coarse", "'' as fine")
+    got = hierarchy(df, F.col("coarse"), F.col("fine"), 400)
+    assert got.where("root = '0' and cast(node as bigint) = depth").count() == n == got.count()
+
+
+def test_loops_over_many_blocks(spark):
+    n = 200
+    rows = [("t", f"l{i}", f"l{(i + 1) % n}", "c", "") for i in range(n)] + [("t", f"b{i}", f"b{i - 1}" if i else "l7", "c", "") for i in range(n)] + [("t", "r", None, "c", ""), ("t", "b5", "r", "c", "")]
+    got = {tuple(r) for r in hierarchy(spark.createDataFrame(rows, LINKS), F.col("coarse"), F.col("fine"), 10).collect()}
+    assert got == {("t", f"{k}{i}", "<cycle>", -1) for k in "lb" for i in range(n)} | {("t", f"b{i}", "r", i - 4) for i in range(5, n)} | {("t", "r", "r", 0)}
 
 
 def test_empty_and_null(spark):
