@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from graphloom.model import Ontology
 from graphloom.functions.iri import local_name
+from graphloom.session import written
 
 BLOCK = 1024
+MOST_BROADCAST = 64 << 20  # bytes of queries that go to all executors at once
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -41,8 +44,9 @@ def _blocks(df: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
 def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """(query, id, score, rank): the k rows of ``index`` most similar to each query, ties by id.
 
-    Exhaustive: blocks of queries meet blocks of rows, each pair is one matrix
-    product that keeps k rows a query, and the best of those are kept.  Ids are
+    Exhaustive: blocks of queries, broadcast in rounds of bounded size, meet
+    blocks of rows, each pair is one matrix product that keeps k rows a query,
+    and the best of those are kept.  Ids are
     integers; rows with a null vector or of another length than the query are
     left out, vectors of length 0 score 0; for k of 0 or less nothing comes out.
     """
@@ -51,7 +55,16 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector
     schema = "query bigint, id bigint, score double"
     if k <= 0:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    pairs = _blocks(q, id, vector, q.count()).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q")).crossJoin(_blocks(x, id, vector, x.count()))
+    n_q, n_x = q.count(), x.count()
+    asked, held = _blocks(q, id, vector, n_q).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q")), written(_blocks(x, id, vector, n_x), "vectors")
+    widest = q.agg(F.max(F.size(vector))).first()[0] or 0
+    if n_q * (widest + 1) * 8 <= MOST_BROADCAST:  # the queries go to the blocks, which stay where they are
+        pairs = held.crossJoin(F.broadcast(asked))
+    else:  # a round of queries after the other meets the blocks: each round's are broadcast, the blocks are read again
+        asked = written(asked.withColumn("round", F.pmod(F.monotonically_increasing_id(), F.lit(-(-n_q * (widest + 1) * 8 // MOST_BROADCAST)))), "queries")
+        rounds = -(-n_q * (widest + 1) * 8 // MOST_BROADCAST)
+        pairs = reduce(DataFrame.unionByName, (held.crossJoin(F.broadcast(asked.where(F.col("round") == r).drop("round"))) for r in range(rounds)))
+    pairs = pairs.select("q_ids", "q", "ids", "vectors")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unit(rows: list) -> np.ndarray:
@@ -73,7 +86,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector
                     best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
                     yield pd.DataFrame({"query": np.repeat(q_ids, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    found = pairs.repartition(max(1, min(pairs.sparkSession.sparkContext.defaultParallelism * 4, 4096))).mapInPandas(score, schema)
+    found = pairs.mapInPandas(score, schema)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

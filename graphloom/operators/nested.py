@@ -193,3 +193,21 @@ def array_objects(df: DataFrame, ids: list[str], text: str, base: Column | None
     out = given.mapInPandas(rows, schema)
     named = [F.col(f"id{i}").alias(c) for i, c in enumerate(ids)]
     return out.select(*named, "parent_path", "path", *(["object"] if with_text else []))
+
+
+def flat_fields(objects: DataFrame, text: str) -> DataFrame:
+    """``objects`` with a row per scalar field of the JSON object ``text``: key, kind (text, number, truth or null) and value; the text itself is dropped.
+
+    Objects and arrays in it are rows or tables of their own and left out, so an
+    object without scalar fields gives none.  Numbers keep the form the parser
+    gives them; of a key that stands there twice the last counts.
+    """
+    shapes = F.from_json(F.col(text), "map<string,string>")  # nested values as their text
+    parsed = objects.withColumn("_v", F.explode(F.map_entries(shapes))).withColumn("key", F.col("_v.key")).withColumn("value", F.col("_v.value"))
+    quote = F.when(F.col("key").contains("'"), '"').otherwise("'")
+    path = F.concat(F.lit("$["), quote, F.col("key"), quote, F.lit("]"))
+    # what a value was is said by its own text in the object, parsed as a variant
+    of = F.try_variant_get(F.try_parse_json(F.col(text)), path, "variant")
+    kind = F.schema_of_variant(of)
+    named = F.when(kind == "STRING", "text").when(kind == "BOOLEAN", "truth").when(kind == "VOID", "null").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+    return parsed.withColumn("kind", named).where("kind is not null").drop("_v", text)

@@ -133,19 +133,21 @@ def _missing(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return n.join(k, reduce(lambda a, b: a & b, (F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys)), "left_anti")
 
 
-def run(graph: Ontology, rules: RuleSet | None = None, activity_id: str | None = None, most: int = 100) -> Report:
-    """What follows from the graph; it is not changed.  Derived axioms carry the activity's id, derived edges nothing."""
+def run(graph: Ontology, rules: RuleSet | None = None, activity_id: str | None = None, most: int = 100, ordered: bool = True) -> Report:
+    """What follows from the graph; it is not changed.  Derived axioms carry the activity's id, derived edges nothing; both come by id if ``ordered``."""
     rules, most = rules or RuleSet.standard(), max(1, most)
     axioms, p1 = _fixpoint(graph.axioms, ["kind", "a", "b"], lambda new, known: [r(new, known) for r in rules.axioms], most)
     all_axioms = graph.axioms.select("kind", "a", "b").unionByName(axioms)
     edges, p2 = _fixpoint(graph.edges, ["label", "source", "target"], lambda new, known: [r(new, known, all_axioms) for r in rules.edges], most)
-    axiom_rows = axioms.select(axiom_id(F.col("kind"), F.col("a"), F.col("b")).alias("id"), "kind", "a", "b", F.lit(activity_id).cast("string").alias("provenance")).orderBy("id")
+    axiom_rows = axioms.select(axiom_id(F.col("kind"), F.col("a"), F.col("b")).alias("id"), "kind", "a", "b", F.lit(activity_id).cast("string").alias("provenance"))
     none = F.lit(None).cast(graph.edges.schema["properties"].dataType)
-    edge_rows = edges.select(edge_id(F.col("source"), F.col("label"), F.col("target")).alias("id"), "label", "source", "target", none.alias("properties")).orderBy("id")
+    edge_rows = edges.select(edge_id(F.col("source"), F.col("label"), F.col("target")).alias("id"), "label", "source", "target", none.alias("properties"))
+    if ordered:
+        axiom_rows, edge_rows = axiom_rows.orderBy("id"), edge_rows.orderBy("id")
     return Report(axiom_rows, edge_rows, max(p1, p2))
 
 
 def materialize(graph: Ontology, rules: RuleSet | None = None, activity_id: str | None = None, most: int = 100) -> tuple[Ontology, Report]:
     """The graph with what follows from it."""
-    report = run(graph, rules, activity_id, most)
+    report = run(graph, rules, activity_id, most, ordered=False)
     return apply_delta(graph, Delta(edges=report.edges, axioms=report.axioms), activity_id), report

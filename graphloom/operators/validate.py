@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.model import Ontology
 from graphloom.operators.store import type_closure
 from graphloom.plans.compile import reach
+from graphloom.session import cut
 
 
 def _finding(rows: DataFrame, severity: str, code: str, focus: F.Column, message: F.Column) -> DataFrame:
@@ -42,25 +43,32 @@ def datatype(graph: Ontology) -> DataFrame:
     return _finding(found, "warning", "datatype.mismatch", F.col("id"), F.concat(F.lit("property "), "name", F.lit(" is no "), "datatype"))
 
 
-def _ends(graph: Ontology, end: str, side: str, code: str) -> DataFrame:
-    types = graph.edge_types.select(F.col("name").alias("label"), F.col(side).alias("allowed")).where("size(allowed) > 0")
-    edges = graph.edges.select("id", "label", F.col(end).alias("node")).join(types, "label")
-    nodes = graph.nodes.select(F.col("id").alias("node"), "types")
-    have = edges.join(nodes, "node")
-    above = type_closure(graph).select("type", "above")
-    chain = have.select("id", "allowed", F.explode_outer("types").alias("type")).join(above, "type", "left")
-    fits = chain.groupBy("id").agg(F.max(F.coalesce(F.array_contains("allowed", F.col("type")), F.lit(False)) | F.coalesce(F.array_contains("allowed", F.col("above")), F.lit(False))).alias("fits"))
-    return _finding(fits.where("not fits"), "error", code, F.col("id"), F.lit(f"the {end} is not in the {side}"))
+def _ends(graph: Ontology, end: str, side: str, code: str, above: DataFrame | None = None) -> DataFrame:
+    """Edges with an existing end that has no type which fits.
 
+    The fitting pairs of label and type, as few as the schema has, are made
+    first; edges are then only joined with the types of their end.
+    """
+    allowed = graph.edge_types.select(F.col("name").alias("label"), F.explode(side).alias("above"))
+    above = (type_closure(graph) if above is None else above).select("type", "above")
+    fits = allowed.select("label", F.col("above").alias("type")).unionByName(allowed.join(above, "above").select("label", "type")).distinct()
+    ruled = graph.edge_types.where(F.size(side) > 0).select(F.col("name").alias("label"))
+    edges = graph.edges.select("id", "label", F.col(end).alias("node")).join(ruled, "label", "left_semi")
+    # per node the labels that its types fit, so that an edge is looked up once
+    nodes = graph.nodes.select(F.col("id").alias("node"), F.explode_outer("types").alias("type"))
+    fitting = nodes.join(fits, "type", "left").groupBy("node").agg(F.collect_set("label").alias("labels"))
+    wrong = edges.join(fitting, "node").where(~F.array_contains("labels", F.col("label")))
+    return _finding(wrong, "error", code, F.col("id"), F.lit(f"the {end} is not in the {side}"))
 
-def domain(graph: Ontology) -> DataFrame:
+
+def domain(graph: Ontology, above: DataFrame | None = None) -> DataFrame:
     """Edges whose source exists and has no type of the domain, nor one below it."""
-    return _ends(graph, "source", "domain", "edge.domain")
+    return _ends(graph, "source", "domain", "edge.domain", above)
 
 
-def range_(graph: Ontology) -> DataFrame:
+def range_(graph: Ontology, above: DataFrame | None = None) -> DataFrame:
     """Edges whose target exists and has no type of the range, nor one below it."""
-    return _ends(graph, "target", "range", "edge.range")
+    return _ends(graph, "target", "range", "edge.range", above)
 
 
 def disjoint(graph: Ontology) -> DataFrame:
@@ -93,7 +101,8 @@ CHECKS = (cardinality, datatype, domain, range_, disjoint, functional, subclass_
 
 def validate(graph: Ontology) -> DataFrame:
     """All findings."""
-    return reduce(DataFrame.unionByName, (check(graph) for check in CHECKS))
+    above = cut(type_closure(graph).select("type", "above"))  # for domain and range
+    return reduce(DataFrame.unionByName, (check(graph, above) if check in (domain, range_) else check(graph) for check in CHECKS))
 
 
 def errors(findings: DataFrame) -> DataFrame:

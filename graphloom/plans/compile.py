@@ -51,9 +51,10 @@ def edge_condition(pattern: EdgePattern) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def match(graph: Ontology, pattern: NodePattern) -> DataFrame:
-    """One row per node that the pattern fits; its id under the pattern's name, in the order of ids."""
-    rows = graph.nodes.where(node_condition(pattern)).orderBy("id")
+def match(graph: Ontology, pattern: NodePattern, unordered: bool = False) -> DataFrame:
+    """One row per node that the pattern fits; its id under the pattern's name, in the order of ids unless ``unordered``."""
+    rows = graph.nodes.where(node_condition(pattern))
+    rows = rows if unordered else rows.orderBy("id")
     return rows.select(*([F.col("id").alias(pattern.name)] if pattern.name else []))
 
 

@@ -40,11 +40,11 @@ customer = N.bind("c").typed("Customer")
 region = N.bind("r").typed("Region").with_property("name", "ASIA")
 hub = TraversalPlan(N.bind("r").typed("Region"))
 QUERIES = {
-    "node_match_type": lambda spark, sf: match(_graph(spark, sf), N.bind("n").typed("Supplier")),
-    "node_match_property": lambda spark, sf: match(_graph(spark, sf), customer.with_property("mktsegment", "BUILDING")),
-    "node_match_integer": lambda spark, sf: match(_graph(spark, sf), N.bind("p").typed("Part").with_property("size", 15)),
-    "node_match_or": lambda spark, sf: match(_graph(spark, sf), N.bind("n").or_(N.typed("Nation")).or_(N.typed("Customer").with_property("mktsegment", "MACHINERY"))),
-    "node_match_not": lambda spark, sf: match(_graph(spark, sf), customer.not_(N.with_property("mktsegment", "BUILDING")).not_(N.with_property("mktsegment", "MACHINERY"))),
+    "node_match_type": lambda spark, sf: match(_graph(spark, sf), N.bind("n").typed("Supplier"), unordered=True),
+    "node_match_property": lambda spark, sf: match(_graph(spark, sf), customer.with_property("mktsegment", "BUILDING"), unordered=True),
+    "node_match_integer": lambda spark, sf: match(_graph(spark, sf), N.bind("p").typed("Part").with_property("size", 15), unordered=True),
+    "node_match_or": lambda spark, sf: match(_graph(spark, sf), N.bind("n").or_(N.typed("Nation")).or_(N.typed("Customer").with_property("mktsegment", "MACHINERY")), unordered=True),
+    "node_match_not": lambda spark, sf: match(_graph(spark, sf), customer.not_(N.with_property("mktsegment", "BUILDING")).not_(N.with_property("mktsegment", "MACHINERY")), unordered=True),
     "hop_outbound": _walk(TraversalPlan(customer).out(E.labeled("inNation"), N.bind("n").typed("Nation"))),
     "hop_inbound": _walk(TraversalPlan(N.bind("n").typed("Nation")).in_(E.labeled("inNation"), N.bind("s").typed("Supplier"))),
     "two_hop_chain": _walk(TraversalPlan(N.bind("o").typed("Order")).out(E.labeled("placedBy"), customer).out(E.labeled("inNation"), N.bind("n"))),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import squeezed
 from graphloom.operators.change_feed import ChangeFeedTable, marks
-from graphloom.operators.hierarchy import descendants, hierarchy, lineage, path_links
+from graphloom.operators.hierarchy import descendants, full_paths, hierarchy, lineage, path_links
 from graphloom.operators.incremental import TargetState, successful_ranges, taken
 from graphloom.operators.journal import deliveries, events
-from graphloom.operators.nested import array_objects
+from graphloom.operators.nested import array_objects, flat_fields
 from graphloom.operators.once import OnceIndex, identifier
 from graphloom.operators.references import commit_parents, type_parents
 from graphloom.operators.snapshot_diff import commit_changes, store_changes
@@ -66,6 +66,11 @@ def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return descendants(lineage(hierarchy_links(spark, sf), F.col("coarse"), F.col("fine")))
 
 
+def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The path from a nearest root down to each type, commit and path that reaches one."""
+    return full_paths(hierarchy_links(spark, sf), F.col("coarse"), F.col("fine"))
+
+
 def nested_sources(spark: SparkSession, sf: str) -> list[tuple]:
     """(origin, rows, text column, base path, unwrap) of the JSON columns."""
     journal = table(spark, sf, "journal").select(F.col("delivery_id").alias("record_id"), F.col("payload").alias("text"))
@@ -80,6 +85,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("origin", "record_id", "parent_path", "path")
 
 
+def p4_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The scalar fields of every object in an array, a row each, under the object's key and that of the object it lies in; the table they belong to is the path without places in arrays."""
+    parts = []
+    for origin, rows, base, unwrap in nested_sources(spark, sf):
+        objects = array_objects(rows, ["record_id"], "text", base, unwrap, with_text=True).withColumn("origin", F.lit(origin))
+        parts.append(flat_fields(objects, "object"))
+    keys = ["origin", "record_id", "parent_path", "path"]
+    return reduce(DataFrame.unionByName, parts).select(*keys, F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("of"), "key", "kind", "value")
+
+
 def _current(spark: SparkSession, sf: str) -> DataFrame:
     """The actors' table after the journal's loads have been applied one after the other."""
     state = ChangeFeedTable(spark, scratch(spark, "p5"))
@@ -119,7 +134,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     return _delivered(spark, sf, "arrived_at", "delivery_id").where("not known").select("actor", "version", "delivery_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found, "p5_state": p5_state, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_descendants": p3_descendants, "p3_paths": p3_paths, "p4_found": p4_found, "p4_fields": p4_fields, "p5_found": p5_found, "p5_state": p5_state, "p7_found": p7_found, "p7_kept": p7_kept}
 
 # the characters of white space in the SQL below are those of functions.text.WHITE_SPACE
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
@@ -215,3 +230,13 @@ QUALIFY row_number() OVER (PARTITION BY actor, version ORDER BY arrived_at NULLS
 }
 _WALK = SQL["p3_found"][: SQL["p3_found"].index("loops AS")].rstrip().rstrip(",")
 SQL["p3_descendants"] = f"{_WALK} SELECT tree, anc AS node, count(*) FILTER (depth > 0) AS descendants FROM walk GROUP BY tree, anc"
+SQL["p3_paths"] = f"""{_WALK}, least AS (SELECT tree, node, min(depth) AS d FROM walk w WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tree = w.tree AND up.node = w.anc) GROUP BY tree, node),
+pick AS (SELECT u.tree, u.node, arg_min(u.parent, {{'d': l.d, 'p': u.parent}}) AS parent FROM (SELECT DISTINCT tree, node, parent FROM up) u JOIN least l ON l.tree = u.tree AND l.node = u.parent GROUP BY u.tree, u.node),
+way(tree, node, path) AS (SELECT tree, node, [node] FROM least WHERE d = 0 UNION ALL SELECT k.tree, k.node, list_append(w.path, k.node) FROM way w JOIN pick k ON k.tree = w.tree AND k.parent = w.node)
+SELECT tree, node, path FROM way"""
+_OBJECTS = SQL["p4_found"]
+_FIELDS = _OBJECTS[: _OBJECTS.rindex("SELECT origin, record_id, CASE")].rstrip()
+SQL["p4_fields"] = rf"""{_FIELDS}, named AS (SELECT origin, record_id, base, k, CASE WHEN n IS NULL THEN '$' ELSE base || regexp_replace(substr(k, 2, n - 1), '\."([^"]*)"', '.\1', 'g') END AS parent_path, base || regexp_replace(substr(k, 2), '\."([^"]*)"', '.\1', 'g') AS path FROM near)
+SELECT n.origin, n.record_id, n.parent_path, n.path, regexp_replace(n.path, '\[[0-9]+\]', '[]', 'g') AS of, t.key, CASE t.type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'truth' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  CASE t.type WHEN 'VARCHAR' THEN json_extract_string(t.value, '$') WHEN 'NULL' THEN NULL ELSE CAST(t.value AS VARCHAR) END AS value
+FROM named n JOIN doc d ON d.origin = n.origin AND d.record_id = n.record_id AND d.base = n.base, json_each(json_extract(d.j, n.k)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')"""

@@ -17,10 +17,6 @@ from graphloom.functions.paths import prefixes, render, segment_type, segments,
 from graphloom.model import Ontology, build, content_id, edge_id, properties_of, pv_of, random_id
 from graphloom.operators.store import Delta
 
-# fixed values: kinds of events with a name of their own; all others keep theirs
-KINDS = ("created", "state_changed", "completed", "terminated")
-
-
 @dataclass(frozen=True)
 class Records:
     """What a source has read."""
@@ -108,10 +104,23 @@ def _state_nodes(states: DataFrame, source: str, key: Column) -> DataFrame:
     return states.select(*_node(content_id("NodeId", key), F.lit(None).cast("string"), [F.lit("ActorState")], props))
 
 
+BLOCK_BITS = 12  # positions whose order one task sees at a time
+
+
 def _successors(events: DataFrame) -> DataFrame:
-    """successor edges from each event to the next one of its batch, over all actors."""
-    before = events.withColumn("before", F.lag("id").over(W.partitionBy("batch").orderBy("pos")))
-    return _edges(before.where("before is not null"), F.col("before"), "successor", F.col("id"))
+    """successor edges from each event to the next one of its batch, over all actors.
+
+    Events are ordered within blocks of positions, then the last of each block
+    is followed by the first of the next, so a batch of any size, a replay of
+    the whole journal say, is spread over tasks.
+    """
+    e = events.select("batch", "pos", "id", F.shiftright("pos", BLOCK_BITS).alias("block"))
+    in_block = W.partitionBy("batch", "block").orderBy("pos", "id")
+    inner = e.withColumn("before", F.lag("id").over(in_block))
+    ends = e.groupBy("batch", "block").agg(F.min(F.struct("pos", "id"))["id"].alias("first"), F.max(F.struct("pos", "id"))["id"].alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(W.partitionBy("batch").orderBy("block")))  # a row per block
+    pairs = inner.select("before", "id").unionByName(between.select("before", F.col("first").alias("id")))
+    return _edges(pairs.where("before is not null"), F.col("before"), "successor", F.col("id"))
 
 
 def path_nodes(records: Records, source: str, minting: Minting) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import json
 import random
 
 import brute
-from graphloom.operators.nested import array_objects, readable
+from graphloom.operators.nested import flat_fields, array_objects, readable
 
 
 def value(rng, depth=0):
@@ -54,3 +54,9 @@ def test_spans_and_empty(spark):
     got = {(r.path, r.object) for r in array_objects(df, ["id"], "text", with_text=True).collect()}
     assert got == {("$[0]", '{"a":[{"b": 2}]}'), ("$[0].a[0]", '{"b": 2}'), ("$[2]", "{}")}
     assert array_objects(df.where("false"), ["id"], "text").count() == 0
+
+
+def test_flat_fields(spark):
+    rows = [(1, '{"a":"x","n":1.5,"t":true,"z":null,"o":{"b":1},"l":[1],"it\'s":"{\\"q\\":1}"}'), (2, "{}"), (3, None)]
+    got = {(r.id, r.key, r.kind, r.value) for r in flat_fields(spark.createDataFrame(rows, "id int, object string"), "object").collect()}
+    assert got == {(1, "a", "text", "x"), (1, "n", "number", "1.5"), (1, "t", "truth", "true"), (1, "z", "null", None), (1, "it's", "text", '{"q":1}')}
