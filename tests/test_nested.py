@@ -4,7 +4,7 @@ import json
 import random
 
 import brute
-from graphloom.operators.nested import flat_fields, array_objects, readable
+from graphloom.operators.nested import array_objects, flat_fields, readable
 
 
 def value(rng, depth=0):
