@@ -147,3 +147,28 @@ def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     rows = wanted.join(held, "source", "left").join(got, "source", "left").fillna(0, ["available_tokens", "documents", "rows", "tokens"])
     total = got.agg(F.sum("tokens").alias("total"))
     return rows.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(0.0)).drop("total")
+
+
+def kept_promises(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, within_a_document, within_repeats, whole_copies, known_sizes) of every target that has documents with tokens: what ``mixture`` promises, counted on its rows.
+
+    within_a_document: the source falls short of its quota by less than its
+    largest document, and does not exceed it; within_repeats: no document
+    stands there more than max_repeats times; whole_copies: every row is
+    another copy of its document; known_sizes: every row has its document's
+    size.  The quotas are worked out anew from the sizes.
+    """
+    spark = sizes.sparkSession
+    wanted = read_targets(targets)
+    held = sizes.where("doc_id is not null and n_tokens > 0").groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n"))
+    by_source = held.groupBy("source").agg(F.sum("n").alias("available"), F.max("n").alias("largest"))
+    named = spark.createDataFrame([(t.source, t.max_repeats) for t in wanted], "source string, max_repeats int")
+    have = {r.source: (r.available, r.largest) for r in by_source.join(F.broadcast(named), "source").collect()}  # a row per target
+    quota = quotas({s: n for s, (n, _) in have.items()}, wanted)
+    rows = [(t.source, t.max_repeats, quota[t.source], have[t.source][1]) for t in wanted if t.source in quota]
+    limits = spark.createDataFrame(rows, "source string, max_repeats int, quota bigint, largest bigint")
+    per_doc = mixed.join(held, ["source", "doc_id"], "left").groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.countDistinct("copy").alias("copies"), F.sum("n_tokens").alias("tokens"), F.min(F.coalesce(F.col("n_tokens") == F.col("n"), F.lit(False)).cast("int")).alias("fits"))
+    got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("times").alias("times"), F.min((F.col("times") == F.col("copies")).cast("int")).alias("whole"), F.min("fits").alias("fits"))
+    all_ = limits.join(got, "source", "left").fillna(0, ["tokens", "times"]).fillna(1, ["whole", "fits"])
+    short = F.col("quota") - F.col("tokens")
+    return all_.select("source", ((short >= 0) & (short < F.greatest("largest", F.lit(1)))).alias("within_a_document"), (F.col("times") <= F.col("max_repeats")).alias("within_repeats"), (F.col("whole") == 1).alias("whole_copies"), (F.col("fits") == 1).alias("known_sizes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.mixing import mixture, shares, sized
+from graphloom.llm.mixing import kept_promises, mixture, shares, sized
 from graphloom.llm.names import linked
 from graphloom.llm.quality import common_words, is_prose, profiled, statistics
 from graphloom.llm.tokens import encoded
@@ -37,6 +37,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(mixture(sizes, targets), sizes, targets)
 
 
+def p9_promises(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mixture promises for every source, counted on its rows."""
+    sizes, targets = sized(_table(spark, sf, "documents")), _table(spark, sf, "mix_targets")
+    return kept_promises(mixture(sizes, targets), sizes, targets)
+
+
 def _profiled(spark: SparkSession, sf: str) -> DataFrame:
     return profiled(_table(spark, sf, "documents").select("doc_id", "text"), "text", common_words(_table(spark, sf, "common_words")))
 
@@ -60,10 +66,11 @@ def p10_counts(spark: SparkSession, sf: str) -> DataFrame:
     return measured.select("doc_id", *(s[c].alias(c) for c in ("n_chars", "n_words", "n_lines")), *(F.round(s[c], 6).alias(c) for c in ("mean_word_length", "punctuated_lines")))
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats, "p10_counts": p10_counts}
+QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_promises": p9_promises, "p10_found": p10_found, "p10_stats": p10_stats, "p10_counts": p10_counts}
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SQL: dict[str, str] = {
+    "p9_promises": "SELECT source, true AS within_a_document, true AS within_repeats, true AS whole_copies, true AS known_sizes FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
     "p10_counts": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (

@@ -106,7 +106,8 @@ def frequent_words(df: DataFrame, text: str, encode: Callable[[Column], Column],
     """The ``most`` most frequent words of at most LONGEST bytes with their ids."""
     counted = df.select(F.explode(words(F.col(text))).alias("word")).where(F.octet_length("word") <= LONGEST).groupBy("word").count()
     top = counted.orderBy(F.desc("count"), "word").limit(most).select("word")
-    return {r.word: r.ids for r in top.repartition(df.sparkSession.sparkContext.defaultParallelism).select("word", encode(F.col("word")).alias("ids")).toLocalIterator()}
+    spread = top.repartition(df.sparkSession.sparkContext.defaultParallelism).select("word", encode(F.col("word")).alias("ids"))
+    return {r.word: r.ids for r in spread.collect()}  # ``most`` rows, each of LONGEST ids at most
 
 
 def encoded(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: Vocabulary | None = None, most: int = FREQUENT) -> DataFrame:
