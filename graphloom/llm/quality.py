@@ -270,7 +270,7 @@ def measured(texts: list[str], tokens: Tokens, languages: int) -> dict[str, np.n
     repeated = np.maximum(repeated, np.divide(echoed, chars.sum(1), out=np.zeros(n), where=chars.sum(1) > 0))
     ratio = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
     n_chars = np.diff(bounds)
-    return {
+    out = {
         "lines": np.column_stack([_shares(kinds) * (1 - repeated[:, None]), repeated]),
         # function words of other languages than the one most used are plain words here
         "words": _shares(np.column_stack([best_chars, chars[:, 1] + chars[:, 0] - best_chars, chars[:, 2:]])),
@@ -280,6 +280,9 @@ def measured(texts: list[str], tokens: Tokens, languages: int) -> dict[str, np.n
         "punctuated_lines": ratio(closed, n_lines), "common_words": ratio(spoken.max(1), n_words), "best": np.where(spoken.max(1) > 0, spoken.argmax(1), -1),
         "function": (pairs, times),
     }
+    at, out["distance"] = _nearest(np.column_stack([out[g] for g in GROUPS]))
+    out["nearest"] = np.where(n_lines == 0, "blank", np.array(_NAMES, object)[at])
+    return out
 
 
 _SHARES = T.ArrayType(T.DoubleType())
@@ -289,6 +292,8 @@ STATS = T.StructType(
         *(T.StructField(c, T.IntegerType()) for c in ("n_words", "n_chars", "n_lines")),
         *(T.StructField(c, T.DoubleType()) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")),
         T.StructField("best", T.IntegerType()),
+        T.StructField("nearest", T.StringType()),
+        T.StructField("distance", T.DoubleType()),
         T.StructField("function", T.ArrayType(T.StructType([T.StructField("word", T.IntegerType()), T.StructField("n", T.IntegerType())]))),
     ]
 )
@@ -299,7 +304,8 @@ def statistics(df: DataFrame, text: str, function_words: dict[str, list[str]]) -
 
     ``best`` is the place of the language whose function words are most, among
     the sorted languages, -1 without any; ``function`` counts the function words
-    by their place among those of all languages, sorted.  A null text counts as
+    by their place among those of all languages, sorted; ``nearest`` is the
+    nearest structural profile, ``distance`` its divergence.  A null text counts as
     empty: all counts and shares are 0.  Columns of any other name pass through;
     a column ``stats`` is replaced.
     """
@@ -320,7 +326,7 @@ def statistics(df: DataFrame, text: str, function_words: dict[str, list[str]]) -
             elif f.name in GROUPS:
                 fields.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * value.shape[1]), pa.array(value.ravel())))
             else:
-                fields.append(pa.array(value, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.float64()))
+                fields.append(pa.array(value, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() if isinstance(f.dataType, T.StringType) else pa.float64()))
         return pa.StructArray.from_arrays(fields, STATS.names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,11 +372,9 @@ def _nearest(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, d[np.arange(len(d)), at]
 
 
-@F.pandas_udf(T.StringType())
-def profile(stats: pd.DataFrame) -> pd.Series:
+def profile(stats: Column) -> Column:
     """The name of the nearest structural profile, whatever the language; 'blank' of a null, empty or blank text."""
-    names = np.array(_NAMES, object)[_nearest(_rows(stats))[0]]
-    return pd.Series(np.where(stats["n_lines"] == 0, "blank", names))
+    return stats["nearest"]
 
 
 class Languages:
@@ -418,17 +422,15 @@ def language_profile(languages: Languages) -> Column:
 
     @F.pandas_udf("language string, profile string")
     def named(stats: pd.DataFrame) -> pd.DataFrame:
-        shares = _rows(stats)
-        at, d = _nearest(shares)
-        names = np.array(_NAMES, object)[at]
+        shares, d, names = _rows(stats), stats["distance"].to_numpy(), stats["nearest"].to_numpy(object).copy()
         spoken = languages.nearest(stats["function"].tolist())
-        has = np.flatnonzero(spoken >= 0)
+        has = np.flatnonzero((spoken >= 0) & (names != "blank"))
         if len(has):
             own = (divergence(shares[has], languages.shares[spoken[has]]) * _WEIGHT).sum(1)
             near = has[own < d[has]]
             names[near] = [f"prose/{languages.known[k]}" for k in spoken[near]]
         spoken_names = [languages.known[k] if k >= 0 else None for k in spoken]
-        return pd.DataFrame({"language": pd.Series(spoken_names, dtype=object), "profile": np.where(stats["n_lines"] == 0, "blank", names)})
+        return pd.DataFrame({"language": pd.Series(spoken_names, dtype=object), "profile": names})
 
     return named
 
