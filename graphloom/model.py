@@ -39,6 +39,7 @@ EDGE_TYPES = T.StructType(
     ]
 )
 
+# fixed values: kinds of axioms, and datatypes of properties
 AXIOM_KINDS = ("SubClassOf", "EquivalentClass", "DisjointWith", "Domain", "Range", "Functional", "InverseFunctional", "InverseOf", "Symmetric", "Transitive")
 DATATYPES = ("string", "integer", "float", "bool", "date_time", "iri", "bytes", "json")
 #: Slot of the value struct by its tag; a null has none.

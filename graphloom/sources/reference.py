@@ -6,12 +6,14 @@ from pyspark.sql import SparkSession
 
 from graphloom.model import Ontology, build
 
+# fixed values: the public organization vocabulary
 _ORG, _FOAF = "http://www.w3.org/ns/org#", "http://xmlns.com/foaf/0.1/"
-_NAME = {"name": "name", "datatype": "string", "cardinality": (1, 1), "iri": "http://www.w3.org/2000/01/rdf-schema#label", "description": "Display name"}
+_NAME = {"name": "name", "datatype": "string", "cardinality": (1, 1), "iri": "http://www.w3.org/2000/01/rdf-schema#label"}
 
 
 def reference_ontology(spark: SparkSession, iri: str = "urn:graphloom:org") -> Ontology:
     """Eight node types, eight edge types, six axioms, no instances."""
+    # fixed values: its types, properties and axioms
     org = lambda name, *sup, **more: {"name": name, "iri": _ORG + name, "supertypes": sup} | more
     link = lambda name, domain, range_, inverse=None: {"name": name, "iri": _ORG + name, "domain": domain, "range": range_, "inverse_of": inverse}
     o = ["Organization"]
