@@ -6,14 +6,16 @@ strings; outside them brackets and delimiters form the structural index, whose
 prefix sums are the nesting depth.  Sorted by depth and place, the tokens of one
 container lie together, so each container's parent, its index in an array, its
 key in an object and its span come from searches in sorted arrays.  Python runs
-once per object that comes out, not per byte or per token.
+once per object that comes out, not per byte or per token.  Rows leave in frames
+of bounded size, however many or long they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4 << 20  # bytes indexed at a time; a longer text is indexed alone
+FRAME = 16 << 20  # characters given out at a time, with ROW more for each row
+ROW = 100
 
 
 def _refuse(name: str) -> None:
@@ -95,8 +99,8 @@ def _quotes(buf: np.ndarray) -> np.ndarray:
     return at
 
 
-def index_objects(texts: list[str], bases: list[str], with_text: bool = False) -> list[tuple[int, str, str, str | None]]:
-    """(place of the text, parent_path, path, span) of every object that is an element of an array; texts must be valid JSON."""
+def index_objects(texts: list[str], bases: list[str], with_text: bool = False) -> Iterator[tuple[int, str, str, str | None]]:
+    """(place of the text, parent_path, path, span) of every object that is an element of an array, as they stand; texts must be valid JSON."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join(raw)
     buf = np.frombuffer(joined, np.uint8)
@@ -110,7 +114,7 @@ def index_objects(texts: list[str], bases: list[str], with_text: bool = False) -
     table[list(b"{}[],:")] = True
     pos = np.flatnonzero(table[buf] & (inside == 0))
     if not len(pos):
-        return []
+        return
     mark = buf[pos]
     opens, closes = (mark == 0x7B) | (mark == 0x5B), (mark == 0x7D) | (mark == 0x5D)
     depth = np.cumsum(opens.astype(np.int64) - closes) + closes
@@ -136,11 +140,11 @@ def index_objects(texts: list[str], bases: list[str], with_text: bool = False) -
     text_of = np.searchsorted(starts, pos_[child], side="right") - 1
     ends = pos_[np.append(child[1:], len(order)) - 1] + 1 if with_text else None
     in_array_, number_, key_end_, text_of_, pos_child = in_array.tolist(), number.tolist(), key_end.tolist(), text_of.tolist(), pos_[child].tolist()
-    paths: dict[int, str] = {}
-    out = []
+    lengths: dict[int, int] = {}  # of the paths so far; the last one begins with that of every object still open
+    path = ""
     for i in emit.tolist():
         steps, at = [], i
-        while at >= 0 and at not in paths:
+        while at >= 0 and at not in lengths:
             if in_array_[at]:
                 steps.append(f"[{number_[at]}]")
             elif up[at] >= 0:
@@ -149,11 +153,32 @@ def index_objects(texts: list[str], bases: list[str], with_text: bool = False) -
                 name = json.loads(b'"' + key + b'"', strict=False) if b"\\" in key else key.decode("utf-8", "surrogatepass")
                 steps.append("." + name)
             at = up[at]
-        path = (paths[at] if at >= 0 else bases[text_of_[i]]) + "".join(reversed(steps))
-        paths[i] = path
+        parent = path[: lengths[at]] if at >= 0 else "$"
+        path = (parent if at >= 0 else bases[text_of_[i]]) + "".join(reversed(steps))
+        lengths[i] = len(path)
         span = joined[pos_child[i] : ends[i]].decode("utf-8", "surrogatepass") if with_text else None
-        out.append((text_of_[i], paths[at] if at >= 0 else "$", path, span))
-    return out
+        yield text_of_[i], parent, path, span
+
+
+def frames(rows: Iterable[tuple[int, str, str, str | None]]) -> Iterator[list[tuple[int, str, str, str | None]]]:
+    """``rows`` in lists of bounded size, none empty, equal rows once; those of one text must follow each other."""
+    digest = lambda row: hashlib.blake2b(repr(row).encode(), digest_size=16).digest()
+    frame: dict[tuple, None] = {}
+    gone: set[bytes] = set()  # rows of this text that earlier frames hold
+    size, text = 0, -1
+    for row in rows:
+        if row[0] != text:
+            text, gone = row[0], set()
+        if row in frame or gone and digest(row) in gone:
+            continue
+        frame[row] = None
+        size += ROW + len(row[1]) + len(row[2]) + len(row[3] or "")
+        if size >= FRAME:
+            yield list(frame)
+            gone.update(digest(r) for r in frame if r[0] == text)
+            frame, size = {}, 0
+    if frame:
+        yield list(frame)
 
 
 def array_objects(df: DataFrame, ids: list[str], text: str, base: Column | None = None, unwrap: bool = True, with_text: bool = False) -> DataFrame:
@@ -171,11 +196,11 @@ def array_objects(df: DataFrame, ids: list[str], text: str, base: Column | None
     schema = ", ".join([*(f"id{i} {kinds[f'id{i}']}" for i in range(len(ids))), "parent_path string, path string, object string"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def indexed(part: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-            found = list(dict.fromkeys(index_objects(texts, part["base"].tolist(), with_text)))
-            out = part.iloc[[f[0] for f in found]][[f"id{i}" for i in range(len(ids))]].reset_index(drop=True)
+        def indexed(part: pd.DataFrame, texts: list[str]) -> Iterator[pd.DataFrame]:
             clean = lambda s: s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
-            return out.assign(parent_path=[clean(f[1]) for f in found], path=[clean(f[2]) for f in found], object=[clean(f[3]) for f in found])
+            for found in frames(index_objects(texts, part["base"].tolist(), with_text)):  # a frame without rows would be an error in Spark's conversion of texts
+                out = part.iloc[[f[0] for f in found]][[f"id{i}" for i in range(len(ids))]].reset_index(drop=True)
+                yield out.assign(parent_path=[clean(f[1]) for f in found], path=[clean(f[2]) for f in found], object=[clean(f[3]) for f in found])
 
         for batch in batches:
             texts = [readable(t, unwrap) for t in batch["text"]]
@@ -187,7 +212,7 @@ def array_objects(df: DataFrame, ids: list[str], text: str, base: Column | None
                     size += len(texts[keep[stop]])
                     stop += 1
                 part = keep[start:stop]
-                yield indexed(batch.iloc[part], [texts[i] for i in part])
+                yield from indexed(batch.iloc[part], [texts[i] for i in part])
                 start = stop
 
     out = given.mapInPandas(rows, schema)
@@ -203,11 +228,10 @@ def flat_fields(objects: DataFrame, text: str) -> DataFrame:
     gives them; of a key that stands there twice the last counts.
     """
     shapes = F.from_json(F.col(text), "map<string,string>")  # nested values as their text
-    parsed = objects.withColumn("_v", F.explode(F.map_entries(shapes))).withColumn("key", F.col("_v.key")).withColumn("value", F.col("_v.value"))
-    quote = F.when(F.col("key").contains("'"), '"').otherwise("'")
-    path = F.concat(F.lit("$["), quote, F.col("key"), quote, F.lit("]"))
-    # what a value was is said by its own text in the object, parsed as a variant
-    of = F.try_variant_get(F.try_parse_json(F.col(text)), path, "variant")
-    kind = F.schema_of_variant(of)
+    # what a value was is said by its own text in the object, parsed as a variant; keys are looked up in it as they are, not by a path
+    variants = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "map<string,variant>")
+    both = F.map_zip_with(shapes, variants, lambda _, value, of: F.struct(value.alias("value"), F.schema_of_variant(of).alias("kind")))
+    parsed = objects.withColumn("_v", F.explode(F.map_entries(both))).withColumn("key", F.col("_v.key")).withColumn("value", F.col("_v.value.value"))
+    kind = F.col("_v.value.kind")
     named = F.when(kind == "STRING", "text").when(kind == "BOOLEAN", "truth").when(kind == "VOID", "null").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
     return parsed.withColumn("kind", named).where("kind is not null").drop("_v", text)

@@ -4,7 +4,8 @@ import json
 import random
 
 import brute
-from graphloom.operators.nested import array_objects, flat_fields, readable
+from graphloom.operators import nested
+from graphloom.operators.nested import array_objects, flat_fields, frames, index_objects, readable
 
 
 def value(rng, depth=0):
@@ -60,3 +61,29 @@ def test_flat_fields(spark):
     rows = [(1, '{"a":"x","n":1.5,"t":true,"z":null,"o":{"b":1},"l":[1],"it\'s":"{\\"q\\":1}"}'), (2, "{}"), (3, None)]
     got = {(r.id, r.key, r.kind, r.value) for r in flat_fields(spark.createDataFrame(rows, "id int, object string"), "object").collect()}
     assert got == {(1, "a", "text", "x"), (1, "n", "number", "1.5"), (1, "t", "truth", "true"), (1, "z", "null", None), (1, "it's", "text", '{"q":1}')}
+
+
+def test_texts_without_objects_in_arrays(spark):
+    assert rows(spark, ['{"a":[1,"{"]}'] * 3) == set()
+    long = json.dumps({"a": ["{"] * (nested.CHUNK // 4)})  # indexed alone, beside one that holds an object
+    assert rows(spark, [long, "[{}]"]) == {("o", 1, "$", "$[0]")}
+
+
+def test_frames_are_bounded_and_whole(monkeypatch):
+    deep = '[{"a":' * 400 + "[]" + "}]" * 400
+    texts = [deep, '{"a":[{}],"a":[{}],"b":1}', "[1]", '[{"l":[{},{"x":[{}]},{}]},{}]'] * 2
+    whole = list(dict.fromkeys(index_objects(texts, ["$"] * len(texts), True)))
+    assert {r[:3] for r in whole} == {r[1:] for i, t in enumerate(texts) for r in brute.object_rows("o", i, t)}
+    monkeypatch.setattr(nested, "FRAME", 5000)
+    parts = list(frames(index_objects(texts, ["$"] * len(texts), True)))
+    assert [r for p in parts for r in p] == whole and len(parts) > 100
+    assert all(0 < sum(nested.ROW + len(r[1]) + len(r[2]) + len(r[3]) for r in p[:-1]) < 5000 or len(p) == 1 for p in parts)
+    assert list(frames([])) == []
+    monkeypatch.setattr(nested, "FRAME", 1)  # each row alone: what came before is known still
+    assert [r for p in frames(index_objects(texts, ["$"] * len(texts))) for r in p] == [(*r[:3], None) for r in whole]
+
+
+def test_flat_fields_of_any_key(spark):
+    keys = ["it's \"x\"", "']", "a.b", "", "$[0]", "\\", "é\n"]
+    df = spark.createDataFrame([(1, json.dumps({k: i for i, k in enumerate(keys)}))], "id int, object string")
+    assert {(r.key, r.kind, r.value) for r in flat_fields(df, "object").collect()} == {(k, "number", str(i)) for i, k in enumerate(keys)}
