@@ -59,5 +59,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: columns and filters still push down into it."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # digests in hexadecimal take half
     return spark.read.schema(df.schema).parquet(path)

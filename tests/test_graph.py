@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.model import Iri, Json, build, empty
 from graphloom.operators import reason, store, validate
-from graphloom.plans import cypher, sparql
+from graphloom.plans import compile, cypher, sparql
 from graphloom.plans.compile import match, traverse
 from graphloom.plans.lexer import QueryError, Unsupported
 from graphloom.plans.pattern import EdgePattern, NodePattern, TraversalPlan
@@ -176,3 +177,40 @@ def test_upserts_and_deltas(spark):
         store.checked_against_schema(g, store.Delta(nodes=new.nodes))
     assert store.last_wins(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, n int, v string"), "id", "n").first().v == "y"
     assert store.pipeline(lambda d: d.where(F.col("id") == "a"), lambda d: d.select("id"))(g.nodes).count() == 1
+
+
+def _shuffled(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["cypher_from_two"])
+def test_long_walk_does_not_shuffle_all_edges(spark, name):
+    sf = "/root/testdata/sf0.01"
+    before = _shuffled(spark)
+    assert entry.queries()[name](spark, sf).count()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert 0 < _shuffled(spark) - before < 64 * lines  # an edge has three ids of 64 digits
+
+
+def test_long_walk_in_all_sizes(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)}
+    graph = build(spark, nodes=[{"iri": f"urn:{i}", "types": ["T"]} for i in range(38)], edges=[{"source": f"urn:{a}", "label": "to", "target": f"urn:{b}"} for a, b in pairs])
+    plan = TraversalPlan(N.bind("a")).out(E.repeat(1, None), N.bind("b"))
+    walked = lambda: sorted(map(tuple, traverse(graph, plan, unordered=True).collect()))
+    ids = {r.id: int(r.iri[4:]) for r in graph.nodes.collect()}
+    want = set()
+    for start in range(38):
+        near, seen = {start}, {start}
+        while near:
+            near = {b for a, b in pairs if a in near} - seen
+            seen |= near
+        want |= {(start, x) for x in seen - {start} if x < 38}
+    rows = walked()
+    assert len(rows) == len(set(rows)) and {(ids[a], ids[b]) for a, b in rows} == want
+    for hashes, rows_sent in ((0, 0), (1 << 20, 0)):
+        monkeypatch.setattr(compile, "MOST_HASHES", hashes)
+        monkeypatch.setattr(compile, "MOST_BROADCAST", rows_sent)
+        assert walked() == rows
