@@ -19,6 +19,8 @@ from graphloom.session import written
 
 BLOCK = 1024
 MOST_BROADCAST = 64 << 20  # bytes of queries that go to all executors at once
+FEW_PAIRS = 1 << 28  # up to so many pairs are compared without looking for equal directions first
+CROWD = 1024  # rows in a cell of directions beyond which its queries are compared with all rows
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -41,10 +43,67 @@ def _blocks(df: DataFrame, id: str, vector: str, rows: int) -> DataFrame:
     return df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v"), number.alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r")).select(F.col("r.id").alias("ids"), F.col("r.v").alias("vectors"))
 
 
+def _units(rows: list) -> np.ndarray:
+    """Vectors of one length, made to length 1; those of length 0 stay."""
+    m = np.array([np.asarray(r, np.float64) for r in rows])
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _cells(df: DataFrame, id: str, vector: str, near: float) -> DataFrame:
+    """(cell, id, v): each row with the cell of its direction, and those within ``near`` of it; no row for a vector without direction."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["v"].map(len).to_numpy()
+            for n in set(lengths.tolist()) - {0}:
+                part = batch[lengths == n]
+                unit = _units(part["v"].tolist())
+                held = np.flatnonzero(np.isfinite(unit).all(1) & unit.any(1))
+                axes = unit[held, :4] * 256
+                low, high = np.floor(axes - near * 256).astype(np.int64), np.floor(axes + near * 256).astype(np.int64)
+                done = []
+                for corner in np.ndindex(*(2,) * axes.shape[1]):
+                    up = np.array(corner, bool)
+                    new = (low < high)[:, up].all(1)  # each cell once
+                    cell = np.full(new.sum(), n, np.int64)
+                    for axis in np.where(up, high, low)[new].T:
+                        cell = cell * 1024 + axis + 512
+                    done.append(part.iloc[held[new]].assign(cell=cell))
+                yield pd.concat(done)[["cell", "id", "v"]]
+
+    return df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInPandas(find, f"cell bigint, id bigint, v {df.schema[vector].dataType.simpleString()}")
+
+
+def _same_direction(q: DataFrame, x: DataFrame, k: int, id: str, vector: str) -> DataFrame:
+    """(query, id, score, rank) of those queries that have k rows of score 1, the greatest there is.
+
+    Rounded to 12 digits the cosine is 1 only where unit vectors are less than
+    1.1e-6 apart, so these lie in one cell of directions or next to its border.
+    """
+    cells = _cells(x, id, vector, 1.1e-6).repartition("cell")
+    one = F.row_number().over(W.partitionBy("cell", "v").orderBy("id"))
+    cells = cells.withColumn("n", one).where(F.col("n") <= k).withColumn("n", F.count("*").over(W.partitionBy("cell"))).where(F.col("n") <= CROWD).drop("n")
+    pairs = _cells(q, id, vector, 0.0).select("cell", F.col("id").alias("query"), F.col("v").alias("w")).join(cells, "cell").where(F.size("v") == F.size("w")).select("query", "w", "id", "v")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["v"].map(len).to_numpy()
+            for n in set(lengths.tolist()):
+                part = batch[lengths == n]
+                yield part[["query", "id"]].assign(score=np.round((_units(part["w"].tolist()) * _units(part["v"].tolist())).sum(1), 12))
+
+    best = pairs.mapInPandas(score, "query bigint, id bigint, score double").where("score >= 1")
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("id"))).where(F.col("rank") <= k)
+    return best.withColumn("n", F.count("*").over(W.partitionBy("query"))).where(F.col("n") == k).drop("n")
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """(query, id, score, rank): the k rows of ``index`` most similar to each query, ties by id.
 
-    Exhaustive: blocks of queries, broadcast in rounds of bounded size, meet
+    Where there are many pairs, queries that have k rows in their own direction
+    are answered with these, since nothing scores more; the others and all of
+    few are exhaustive: blocks of queries, broadcast in rounds of bounded size, meet
     blocks of rows, each pair is one matrix product that keeps k rows a query,
     and the best of those are kept.  Ids are
     integers; rows with a null vector or of another length than the query are
@@ -56,6 +115,17 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector
     if k <= 0:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     n_q, n_x = q.count(), x.count()
+    if n_q * n_x > FEW_PAIRS:
+        settled = written(_same_direction(q, x, k, id, vector), "settled")
+        q = q.join(settled.select(F.col("query").alias(id)).distinct(), id, "left_anti")
+        n_q = q.count()
+        return settled if not n_q else settled.unionByName(_compared(q, x, n_q, n_x, k, id, vector))
+    return _compared(q, x, n_q, n_x, k, id, vector)
+
+
+def _compared(q: DataFrame, x: DataFrame, n_q: int, n_x: int, k: int, id: str, vector: str) -> DataFrame:
+    """Every query with every row."""
+    schema = "query bigint, id bigint, score double"
     asked, held = _blocks(q, id, vector, n_q).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q")), written(_blocks(x, id, vector, n_x), "vectors")
     widest = q.agg(F.max(F.size(vector))).first()[0] or 0
     if n_q * (widest + 1) * 8 <= MOST_BROADCAST:  # the queries go to the blocks, which stay where they are
@@ -67,14 +137,9 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, id: str = "id", vector
     pairs = pairs.select("q_ids", "q", "ids", "vectors")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unit(rows: list) -> np.ndarray:
-            m = np.array([np.asarray(r, np.float64) for r in rows])
-            n = np.sqrt((m * m).sum(1, keepdims=True))
-            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
         def by_length(ids: np.ndarray, rows: np.ndarray) -> dict[int, tuple]:
             lengths = np.array([len(r) for r in rows])
-            return {n: (ids[lengths == n], unit([r for r, m in zip(rows, lengths, strict=True) if m == n])) for n in set(lengths.tolist())}
+            return {n: (ids[lengths == n], _units([r for r, m in zip(rows, lengths, strict=True) if m == n])) for n in set(lengths.tolist())}
 
         for batch in batches:
             for r in batch.itertuples(index=False):
@@ -118,12 +183,12 @@ def embedded(df: DataFrame, text: str, backend: EmbeddingBackend, to: str = "vec
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(texts), dtype=object)
+        out = np.full(len(texts), None, object)
         held = texts.notna().to_numpy()
         if held.any():
             for i, v in zip(np.flatnonzero(held), backend.embed_batch(texts[held].tolist()), strict=True):
-                out.iat[i] = v
-        return out
+                out[i] = v
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(to, embed(text))
 
