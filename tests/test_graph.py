@@ -185,7 +185,7 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["cypher_from_two"])
+@pytest.mark.parametrize("name", ["cypher_from_two", "var_path_1_3", "var_path_unbounded"])
 def test_long_walk_does_not_shuffle_all_edges(spark, name):
     sf = "/root/testdata/sf0.01"
     before = _shuffled(spark)
