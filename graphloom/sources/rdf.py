@@ -357,9 +357,10 @@ def jsonld_subjects(triples: DataFrame) -> DataFrame:
     id_ = F.to_json(F.struct(F.when(F.col("o_kind") == "blank", F.concat(F.lit("_:"), "o")).otherwise(F.col("o")).alias("@id")))
     value = F.to_json(F.struct(F.col("lang").alias("@language"), F.when(F.col("lang").isNull(), F.col("datatype")).alias("@type"), F.col("o").alias("@value")))
     rows = triples.select(key.alias("subject"), "p", F.when(F.col("o_kind") == "literal", value).otherwise(id_).alias("o"))
+    said = rows.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("p", "o"))).alias("said"))
     name = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
-    per = rows.groupBy("subject", "p").agg(F.concat(name("p"), F.lit(":["), F.concat_ws(",", F.array_sort(F.collect_list("o"))), F.lit("]")).alias("m"))
-    return per.groupBy("subject").agg(F.concat(F.lit('{"@id":'), name("subject"), F.lit(","), F.concat_ws(",", F.array_sort(F.collect_list("m"))), F.lit("}")).alias("json"))
+    members = "transform(array_distinct(said.p), p -> concat(substring(to_json(array(p)), 2, length(to_json(array(p))) - 2), ':[', concat_ws(',', transform(filter(said, x -> x.p = p), x -> x.o)), ']'))"
+    return said.select("subject", F.concat(F.lit('{"@id":'), name("subject"), F.lit(","), F.concat_ws(",", F.array_sort(F.expr(members))), F.lit("}")).alias("json"))
 
 
 def jsonld_text(graph: Ontology) -> str:

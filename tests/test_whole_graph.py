@@ -109,3 +109,13 @@ def test_drawings(spark, whole):
     mermaid = [(0, i, f'  n{i[:20]}["{t if name is None else name}"]') for i, t, name in named]
     mermaid += [(1, e(s, label, t), f'  n{n(s)[:20]} -- "{label}" --> n{n(t)[:20]}') for s, label, t in edges]
     assert result(spark, "mermaid_lines") == Counter(mermaid)
+
+
+def test_subjects_are_grouped_once(spark):
+    from graphloom.sources import rdf
+
+    rows = [("urn:a", "q", "literal", 'x"', "d"), ("urn:a", "p", "iri", "urn:b", None), ("urn:a", "p", "iri", "urn:a", None)]
+    t = spark.createDataFrame([("iri", *r, None) for r in rows], "s_kind string, s string, p string, o_kind string, o string, datatype string, lang string")
+    got = rdf.jsonld_subjects(t)
+    assert [tuple(r) for r in got.collect()] == [("urn:a", '{"@id":"urn:a","p":[{"@id":"urn:a"},{"@id":"urn:b"}],"q":[{"@type":"d","@value":"x\\""}]}')]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate") == 2
